@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,9 @@ CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data set. Python workers started from now on find this package where the driver found it."""
+    if (root := str(Path(__file__).parents[2])) not in (paths := spark.sparkContext.environment.get("PYTHONPATH", "")).split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (paths, root)))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, sharding
+from . import attribution, bpe, common, sharding
+
+
+def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.attribute(common.table(spark, sf_dir, "documents"))
 
 
 def op2_bounded_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bounded_ring_shards,)}
+def op7_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_attribution, op2_bounded_ring_shards, op7_backtracking_bpe)}
 ORACLES: dict[str, str] = {}
