@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, bpe, common, sharding
+from . import attribution, bpe, common, decontamination, sharding
 
 
 def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +15,13 @@ def op2_bounded_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(common.table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.scan(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op7_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_attribution, op2_bounded_ring_shards, op7_backtracking_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_attribution, op2_bounded_ring_shards, op5_suffix_array_decontamination, op7_backtracking_bpe)}
 ORACLES: dict[str, str] = {}
