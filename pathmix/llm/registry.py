@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, bpe, common, decontamination, sharding
+from . import attribution, bpe, common, decontamination, secrets, sharding
 
 
 def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +19,13 @@ def op5_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return decontamination.scan(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op6_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(common.table(spark, sf_dir, "documents"))
+
+
 def op7_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_attribution, op2_bounded_ring_shards, op5_suffix_array_decontamination, op7_backtracking_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_attribution, op2_bounded_ring_shards, op5_suffix_array_decontamination, op6_randomness_battery, op7_backtracking_bpe)}
 ORACLES: dict[str, str] = {}
