@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, bpe, common, decontamination, secrets, sharding
+from . import attribution, bpe, common, decontamination, pii, secrets, sharding
 
 
 def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,5 +27,9 @@ def op7_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_attribution, op2_bounded_ring_shards, op5_suffix_array_decontamination, op6_randomness_battery, op7_backtracking_bpe)}
+def op9_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_attribution, op2_bounded_ring_shards, op5_suffix_array_decontamination, op6_randomness_battery, op7_backtracking_bpe, op9_boosted_candidates)}
 ORACLES: dict[str, str] = {}

@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start: bigint, end: bigint, kind: int, match: string>>"
 
 
-def find(text: Column, pattern: str, kind: int, likely: Column | None = None) -> Column:
-    """All leftmost non-overlapping matches of `pattern`, as structs of start, end (exclusive), kind and match.
+#: Code points before a match that count as its context.
+CONTEXT = 24
+
+
+def find(text: Column, pattern: str, kind: int, likely: Column | None = None, context: bool = False) -> Column:
+    """All leftmost non-overlapping matches of `pattern`, as structs of start, end (exclusive), kind and match; with
+    `context` also `before`, what stands before it (up to CONTEXT code points, none of an earlier match).
 
     Positions are sums of the lengths of the pieces between matches and of the matches; `likely` is a cheaper
     condition that every text with a match meets.
@@ -17,13 +22,14 @@ def find(text: Column, pattern: str, kind: int, likely: Column | None = None) ->
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("match"))
-    empty = F.array().cast(SPAN)
+    empty = F.array().cast(SPAN[:-2] + ", before: string>>" if context else SPAN)
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["match"].alias("match"))
+        before = [F.right(x["gap"], F.lit(CONTEXT)).alias("before")] if context else []
+        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["match"].alias("match"), *before)
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
     spans = F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
