@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, bpe, common, decontamination, htmltext, pii, secrets, sharding
+from . import attribution, bpe, common, decontamination, htmltext, pii, quality, secrets, sharding
 
 
 def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op2_bounded_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(common.table(spark, sf_dir, "documents"))
 
 
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.keep(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op4_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(common.table(spark, sf_dir, "pages"))
 
@@ -35,5 +39,5 @@ def op9_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_attribution, op2_bounded_ring_shards, op4_site_style_tree, op5_suffix_array_decontamination, op6_randomness_battery, op7_backtracking_bpe, op9_boosted_candidates)}
+QUERIES = {f.__name__: f for f in (op1_token_attribution, op2_bounded_ring_shards, op3_importance_resampling, op4_site_style_tree, op5_suffix_array_decontamination, op6_randomness_battery, op7_backtracking_bpe, op9_boosted_candidates)}
 ORACLES: dict[str, str] = {}
