@@ -14,6 +14,8 @@ from .common import LOWER, _powers, drop_settled, flat, mix, pieces, settle
 
 #: Buckets of the hashed models, added count, rows of the histogram that finds a rank, and their bound when refined.
 BUCKETS, ADDED, BINS = 1 << 14, 0.5, 4096
+#: Log weights are divided by this before the noise is added: the lower, the less luck near the border.
+TEMPERATURE = 0.125
 _CLASS = np.full(256, 2, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 _CLASS[48:58] = _CLASS[65:91] = _CLASS[97:123] = _CLASS[128:] = 1
@@ -128,7 +130,7 @@ def _gumbel(key: Column) -> Column:
 
 
 def weigh(df: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, least: float | None = None) -> DataFrame:
-    """Columns `keep` (the key alone if None), log_weight and draw (log weight plus Gumbel noise); with `least` only
+    """Columns `keep` (the key alone if None), log_weight and draw (log weight over TEMPERATURE plus Gumbel noise); with `least` only
     rows whose draw is at least that, and only the columns `keep`.
 
     The log weight is the log ratio summed over a text's n-grams over the root of their number, so that neither
@@ -142,7 +144,7 @@ def weigh(df: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weight = _weights(batch.column(n), model.value)
-            draw = weight + np.asarray(batch.column(n + 1))
+            draw = weight / TEMPERATURE + np.asarray(batch.column(n + 1))
             out = pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(weight), pa.array(draw)], names=[*columns, "log_weight", "draw"])
             yield out if least is None else out.filter(pa.array(draw >= least)).select(columns)
 
