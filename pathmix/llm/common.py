@@ -135,3 +135,36 @@ def windows(words: np.ndarray, k: int) -> np.ndarray:
     for x in range(k):
         out = out * np.uint64(0xD6E8FEB86659FD93) + words[x : x + n]
     return mix(out)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Whole groups of rows that follow each other with equal first `keys` columns: tables and where groups begin
+    (and the last ends). Rows must be sorted by those columns; a table holds at least one group."""
+    rest: list[pa.Table] = []
+    last: tuple | None = None
+
+    def edges(table: pa.Table) -> list[int]:
+        change = np.zeros(max(table.num_rows - 1, 0), bool)
+        for k in range(keys):
+            values = table.column(k).to_numpy()
+            change |= values[1:] != values[:-1]
+        return [0, *(np.flatnonzero(change) + 1).tolist(), table.num_rows]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        head = tuple(table.column(k)[0].as_py() for k in range(keys))
+        inner = edges(table)
+        if rest and head == last and len(inner) == 2:
+            rest.append(table)  # the group goes on through the whole batch
+            continue
+        whole = pa.concat_tables([*rest, table]).combine_chunks() if rest else table
+        cut = edges(whole)
+        if len(cut) > 2:
+            yield whole.slice(0, cut[-2]), cut[:-1]
+            whole = whole.slice(cut[-2])
+        rest, last = [whole], tuple(whole.column(k)[0].as_py() for k in range(keys))
+    if rest:
+        whole = pa.concat_tables(rest).combine_chunks()
+        yield whole, edges(whole)

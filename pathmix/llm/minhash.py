@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, drop_settled, flat, mix, pieces, settle, windows
+from .common import Words, drop_settled, flat, grouped, mix, pieces, settle, windows
 from .components import components
 
 #: Coordinates of a sketch that name children, and those (of one byte, a multiple of eight below 256) that estimate.
@@ -207,28 +207,13 @@ class ChosenPath:
             return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in found]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rest: pa.Table | None = None
-            for batch in [*batches, None]:
-                if batch is not None:
-                    table = pa.Table.from_batches([batch])
-                    rest = table if rest is None else pa.concat_tables([rest, table])
-                    if not rest.num_rows:
-                        continue
-                if rest is None or not rest.num_rows:
-                    continue
-                node, tile = (rest.column(k).to_numpy() for k in (0, 1))
-                cut = np.flatnonzero((node[1:] != node[:-1]) | (tile[1:] != tile[:-1])) + 1
-                done = rest.num_rows if batch is None else (int(cut[-1]) if len(cut) else 0)
-                if not done:
-                    continue
-                stage, ids, comp, main = (rest.column(k).to_numpy() for k in (2, 3, 4, 5))
-                views = np.frombuffer(b"".join(rest.column(6).slice(0, done).to_pylist()), np.uint8).reshape(-1, COMPARED)
-                edges = [0, *cut[cut < done].tolist(), done]
+            for table, edges in grouped(batches, 2):
+                stage, ids, comp, main = (table.column(k).to_numpy() for k in (2, 3, 4, 5))
+                views = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, COMPARED)
                 links: set[tuple[int, int]] = set()
                 for a, b in zip(edges, edges[1:], strict=False):
                     if b - a > 1:
                         links.update(settle_tile(int(stage[a]), ids[a:b], comp[a:b], main[a:b], views[a:b]))
-                rest = rest.slice(done)
                 pairs = sorted(links)
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, bpe, common, decontamination, htmltext, minhash, pii, quality, secrets, sharding
+from . import attribution, bpe, common, decontamination, htmltext, minhash, pii, quality, secrets, sharding, vectors
 
 
 def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op7_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(common.table(spark, sf_dir, "documents"))
 
 
+def op8_subspace_pigeonhole_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
 def op9_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(common.table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_attribution, op2_bounded_ring_shards, op3_importance_resampling, op4_site_style_tree, op5_suffix_array_decontamination, op6_randomness_battery, op7_backtracking_bpe, op9_boosted_candidates, op10_chosen_path_join)}
+QUERIES = {f.__name__: f for f in (op1_token_attribution, op2_bounded_ring_shards, op3_importance_resampling, op4_site_style_tree, op5_suffix_array_decontamination, op6_randomness_battery, op7_backtracking_bpe, op8_subspace_pigeonhole_join, op9_boosted_candidates, op10_chosen_path_join)}
 ORACLES: dict[str, str] = {}
