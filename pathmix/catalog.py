@@ -1,4 +1,6 @@
 """The queries of the engine's own operators and the SQL each must equal."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import path_queries  # noqa: F401  registers its queries
+from .plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
