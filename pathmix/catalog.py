@@ -1,6 +1,6 @@
 """The queries of the engine's own operators and the SQL each must equal."""
 
-from .plans import path_queries  # noqa: F401  registers its queries
+from .plans import model_queries, path_queries  # noqa: F401  they register their queries
 from .plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
