@@ -219,21 +219,37 @@ def neighbours_uniform(contexts: DataFrame, edges: DataFrame, size: int) -> Data
     return last.join(out, "source", "left").select("ctx", F.when(n > 0, d).otherwise(D.empty(F.lit(1.0 / size))).alias("d"))
 
 
+def _held(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def masked(d: Column, to: Column, size: Column) -> Column:
     """d on the successors alone, brought to one; d itself if they hold no mass."""
-    kept = F.struct(F.transform(to, lambda v: F.struct(v.alias("node"), D.at(d, v).alias("p"))).alias("p"), F.lit(0.0).alias("floor"))
-    whole = D.total(kept["p"], lambda x: x["p"])
-    return F.when(F.coalesce(F.size(to), F.lit(0)) > 0, F.when(whole > 0, D.scaled(kept, whole)).otherwise(d)).otherwise(d)
+    kept = F.struct(F.filter(d["p"], lambda x: F.array_contains(to, x["node"])).alias("p"), F.lit(0.0).alias("floor"))
+    rest = F.transform(F.array_except(to, F.transform(d["p"], lambda x: x["node"])), lambda v: F.struct(v.alias("node"), d["floor"].alias("p")))
+    whole = F.struct(F.concat(kept["p"], rest).alias("p"), F.lit(0.0).alias("floor"))
+
+    def judged(k: Column) -> Column:
+        mass = D.total(k["p"], lambda x: x["p"])
+        return F.when(mass > 0, D.scaled(k, mass)).otherwise(d)
+
+    return F.when(F.coalesce(F.size(to), F.lit(0)) > 0, _held(whole, judged)).otherwise(d)
 
 
 def with_prior(d: Column, to: Column, size: Column, beta: float) -> Column:
     """d times (beta * share of the successors + (1 - beta) / size), brought to one."""
     base = (1 - beta) / size
-    nodes = F.array_sort(F.array_union(F.transform(d["p"], lambda x: x["node"]), F.coalesce(to, F.array().cast("array<int>"))))
     n = F.coalesce(F.size(to), F.lit(0))
-    raw = F.struct(
-        F.transform(nodes, lambda v: F.struct(v.alias("node"), (D.at(d, v) * (base + F.when(F.array_contains(to, v), beta / n).otherwise(F.lit(0.0)))).alias("p"))).alias("p"),
-        (d["floor"] * base).alias("floor"),
-    )
-    whole = D.mass(raw, size)
-    return F.when((n > 0) & (whole > 0), D.scaled(raw, whole)).otherwise(d)
+    rest = F.transform(F.array_except(to, F.transform(d["p"], lambda x: x["node"])), lambda v: F.struct(v.alias("node"), d["floor"].alias("p")))
+
+    def lifted(x: Column) -> Column:
+        return F.struct(x["node"].alias("node"), (x["p"] * (base + F.when(F.array_contains(to, x["node"]), beta / n).otherwise(F.lit(0.0)))).alias("p"))
+
+    raw = F.struct(F.transform(F.concat(d["p"], rest), lifted).alias("p"), (d["floor"] * base).alias("floor"))
+
+    def judged(r: Column) -> Column:
+        mass = D.mass(r, size)
+        return F.when(mass > 0, D.scaled(r, mass)).otherwise(d)
+
+    return F.when(n > 0, _held(raw, judged)).otherwise(d)

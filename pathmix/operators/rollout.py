@@ -65,7 +65,7 @@ def path_scores(rolled: DataFrame, theta: float = 0.75, floor: float = 1e-12) ->
     r = F.col("ranks")
     return rolled.select(
         *keys, F.size("pred").alias("steps"), F.size(F.filter(r, lambda x: x == 1)).alias("hits"), F.size(F.filter(r, lambda x: x <= 3)).alias("hits3"),
-        F.round(D.total(r, lambda x: 1.0 / x), 6).alias("rr"), leading_run(r).alias("leading"), horizon(r, theta).alias("horizon"),
+        F.round(D.total(r, lambda x: 1.0 / x), 6).alias("rr"), leading_run(r).alias("lead_run"), horizon(r, theta).alias("horizon"),
         (F.element_at("pred", -1) == F.element_at("truth", -1)).cast("int").alias("endpoint"), F.round(P.jaccard(F.col("pred"), F.col("truth")), 6).alias("jaccard"),
         P.edit_distance(F.col("pred"), F.col("truth")).alias("edits"), F.round(D.total(F.col("probs"), lambda p: -F.ln(F.greatest(p, F.lit(floor)))) / F.size("probs"), 6).alias("nll"),
     )
@@ -76,7 +76,7 @@ def ar_metrics(scores: DataFrame) -> DataFrame:
     n = F.sum("steps")
     return scores.agg(
         F.count("*").alias("paths"), n.cast("bigint").alias("tokens"), F.round(F.sum("hits") / n, 6).alias("ar1"), F.round(F.sum("hits3") / n, 6).alias("ar3"), F.round(F.sum("rr") / n, 4).alias("mrr"),
-        F.round(F.avg(F.col("endpoint").cast("double")), 6).alias("endpoint"), F.round(F.avg("jaccard"), 5).alias("jaccard"), F.round(F.avg(F.col("leading").cast("double")), 6).alias("leading"),
+        F.round(F.avg(F.col("endpoint").cast("double")), 6).alias("endpoint"), F.round(F.avg("jaccard"), 5).alias("jaccard"), F.round(F.avg(F.col("lead_run").cast("double")), 6).alias("lead_run"),
         F.round(F.avg(F.col("horizon").cast("double")), 6).alias("horizon"), F.round(F.avg(F.col("edits").cast("double")), 6).alias("edits"),
     )
 

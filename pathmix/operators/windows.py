@@ -41,8 +41,8 @@ def ranked(rows: DataFrame, column: str, name: str) -> DataFrame:
     dealt = rows.repartitionByRange(F.col(column)).sortWithinPartitions(column).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
     inside = dealt.withColumn("_r", F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33))
     sizes = inside.groupBy("_p").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("_o", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inside.join(F.broadcast(before.select("_p", "_o")), "_p").select(*rows.columns, (F.col("_r") + F.col("_o")).cast("bigint").alias(name))
+    before = sizes.withColumn("_shift", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return inside.join(F.broadcast(before.select("_p", "_shift")), "_p").select(*rows.columns, (F.col("_r") + F.col("_shift")).cast("bigint").alias(name))
 
 
 def encode(paths: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -46,9 +46,9 @@ def rollout_mc(spark, sf):
     return rolled.select("trip_id", P.text(F.col("pred")).alias("pred"), P.text(F.col("truth")).alias("truth"))
 
 
-SCORES = f"""{ROLL}, ps AS (SELECT f.trip_id, len(pred) AS steps, x.hits, x.hits3, x.rr, x.leading, x.horizon, x.nll, CAST(pred[len(pred)] = truth[len(truth)] AS INTEGER) AS endpoint,
+SCORES = f"""{ROLL}, ps AS (SELECT f.trip_id, len(pred) AS steps, x.hits, x.hits3, x.rr, x.lead_run, x.horizon, x.nll, CAST(pred[len(pred)] = truth[len(truth)] AS INTEGER) AS endpoint,
  round(len(list_intersect(pred, truth)) / len(list_distinct(list_concat(pred, truth))), 6) AS jaccard, levenshtein(array_to_string(pred, ''), array_to_string(truth, '')) AS edits
- FROM f JOIN (SELECT trip_id, count(*) FILTER (WHERE rank = 1) AS hits, count(*) FILTER (WHERE rank <= 3) AS hits3, round(sum(1.0::DOUBLE / rank), 6) AS rr, coalesce(min(s) FILTER (WHERE rank <> 1) - 1, count(*)) AS leading,
+ FROM f JOIN (SELECT trip_id, count(*) FILTER (WHERE rank = 1) AS hits, count(*) FILTER (WHERE rank <= 3) AS hits3, round(sum(1.0::DOUBLE / rank), 6) AS rr, coalesce(min(s) FILTER (WHERE rank <> 1) - 1, count(*)) AS lead_run,
  coalesce(max(s) FILTER (WHERE h / s >= 0.75), 0) AS horizon, round(avg(-ln(greatest(p, 1e-12))), 6) AS nll FROM cu GROUP BY trip_id) x USING (trip_id))"""
 
 
@@ -57,14 +57,14 @@ def _scores(spark, sf):
     return O.path_scores(O.greedy(_seeds(spark, sf), _backoff(train, 3), 5))
 
 
-@query(f"""{SCORES} SELECT trip_id, CAST(steps AS INTEGER) AS steps, CAST(hits AS INTEGER) AS hits, CAST(hits3 AS INTEGER) AS hits3, rr, CAST(leading AS INTEGER) AS leading, CAST(horizon AS INTEGER) AS horizon, endpoint, CAST(jaccard AS DOUBLE) AS jaccard, CAST(edits AS INTEGER) AS edits, nll FROM ps""")
+@query(f"""{SCORES} SELECT trip_id, CAST(steps AS INTEGER) AS steps, CAST(hits AS INTEGER) AS hits, CAST(hits3 AS INTEGER) AS hits3, rr, CAST(lead_run AS INTEGER) AS lead_run, CAST(horizon AS INTEGER) AS horizon, endpoint, CAST(jaccard AS DOUBLE) AS jaccard, CAST(edits AS INTEGER) AS edits, nll FROM ps""")
 def rollout_scores(spark, sf):
     """Leading and 75-percent horizons, endpoint, Jaccard and edit distance per path."""
     return _scores(spark, sf)
 
 
 @query(f"""{SCORES} SELECT count(*) AS paths, CAST(sum(steps) AS BIGINT) AS tokens, round(sum(hits) / sum(steps), 6) AS ar1, round(sum(hits3) / sum(steps), 6) AS ar3, round(sum(rr) / sum(steps), 4) AS mrr, round(avg(endpoint), 6) AS endpoint,
-round(avg(jaccard), 5) AS jaccard, round(avg(leading), 6) AS leading, round(avg(horizon), 6) AS horizon, round(avg(edits), 6) AS edits FROM ps""")
+round(avg(jaccard), 5) AS jaccard, round(avg(lead_run), 6) AS lead_run, round(avg(horizon), 6) AS horizon, round(avg(edits), 6) AS edits FROM ps""")
 def ar_metrics(spark, sf):
     return O.ar_metrics(_scores(spark, sf))
 
