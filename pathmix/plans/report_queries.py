@@ -169,7 +169,7 @@ def mogen_dof(spark, sf):
 
 
 def _ll(k: int) -> str:
-    ramp = RAMP.replace(", 3)", f", {k})").replace(",3)", f",{k})").replace("ramp AS", f"ramp{k} AS").replace("term AS", f"term{k} AS").replace("start AS", f"start{k} AS")
+    ramp = RAMP.replace("GROUP BY 1, 2, 3", "GROUP BY ALL").replace(", 3)", f", {k})").replace(",3)", f",{k})").replace("ramp AS", f"ramp{k} AS").replace("term AS", f"term{k} AS").replace("start AS", f"start{k} AS")
     return ramp + f""", tot{k} AS (SELECT k, ctx, sum(cnt) AS n FROM (SELECT k, ctx, cnt FROM ramp{k} UNION ALL SELECT k, ctx, cnt FROM term{k}) GROUP BY 1, 2),
 ll{k} AS (SELECT {k} AS k, (SELECT sum(cnt * ln((cnt + 0.2) / (t + 1.0))) FROM start{k}, (SELECT sum(cnt) AS t FROM start{k})) + (SELECT sum(cnt * ln((cnt + 0.2) / (n + 1.2))) FROM ramp{k} JOIN tot{k} USING (k, ctx)) + (SELECT sum(cnt * ln((cnt + 0.2) / (n + 1.2))) FROM term{k} JOIN tot{k} USING (k, ctx)) AS ll)"""
 
