@@ -76,13 +76,13 @@ def entropy_nats(d: Column, size: Column, clamp: float = 1e-8) -> Column:
 
 
 def top(d: Column) -> Column:
-    """The most probable node, the smallest of equals; null without bumps."""
+    """The most probable node, the smallest of equals; 0 without bumps, where all nodes are equal."""
     best = F.aggregate(
         d["p"],
         F.struct(F.lit(None).cast("int").alias("node"), F.lit(-1.0).alias("p")),
         lambda acc, x: F.when((x["p"] > acc["p"]) | ((x["p"] == acc["p"]) & (x["node"] < acc["node"])), F.struct(x["node"].alias("node"), x["p"].alias("p"))).otherwise(acc),
     )
-    return best["node"]
+    return F.when(F.size(d["p"]) == 0, F.lit(0)).otherwise(best["node"])
 
 
 def rank(d: Column, node: Column, size: Column | None = None) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 
 from ..functions import geo as G
+from ..functions import paths as P
 from ..operators import graph as R
 from ..operators import windows as W
 from ..sources import tables as T
@@ -185,6 +186,56 @@ def endpoint_check(spark, sf):
     return a.join(b)
 
 
+@query(f"""WITH {ROAD}, {GEO}, {UND}, d AS (SELECT source AS node, count(*) AS d FROM und GROUP BY 1), o AS (SELECT source AS node, count(*) AS o FROM road GROUP BY 1), i AS (SELECT target AS node, count(*) AS i FROM road GROUP BY 1),
+t AS (SELECT a.source AS node, count(*) AS t FROM und a JOIN und b ON b.source = a.source AND a.target < b.target JOIN und c ON c.source = a.target AND c.target = b.target GROUP BY 1)
+SELECT node, round(coalesce(i, 0) / (max(coalesce(i, 0)) OVER () + 1e-6), 6) AS in_degree, round(coalesce(o, 0) / (max(coalesce(o, 0)) OVER () + 1e-6), 6) AS out_degree,
+round(CASE WHEN coalesce(d, 0) < 2 THEN 0.0 ELSE 2.0::DOUBLE * coalesce(t, 0) / (d * (d - 1)) END, 6) AS coefficient FROM geo LEFT JOIN o USING (node) LEFT JOIN i USING (node) LEFT JOIN d USING (node) LEFT JOIN t USING (node)""")
+def combined_features(spark, sf):
+    edges, c = parts(spark, sf)
+    rows = R.degree_features(edges, c).join(R.clustering(edges, c), "node")
+    return rows.select("node", *[F.round(x, 6).alias(x) for x in ("in_degree", "out_degree", "coefficient")])
+
+
+@query(f"""WITH {GEO}, p AS (SELECT c_custkey AS point, c_custkey * 29 % 340 - 170 + 0.25::DOUBLE AS lon, c_custkey * 13 % 150 - 75 + 0.25::DOUBLE AS lat FROM customer),
+n AS (SELECT point, min({km('p', 'geo')}) AS km FROM p, geo GROUP BY point) SELECT count(*) AS points, round(avg(km), 4) AS mean_km, round(min(km), 4) AS min_km, round(max(km), 4) AS max_km FROM n""")
+def mapping_statistics(spark, sf):
+    """How far points lie from the nodes they are mapped to."""
+    c = F.col("c_custkey")
+    points = T.read(spark, sf, "customer").select(c.alias("point"), (c * 29 % 340 - 170 + 0.25).alias("lon"), (c * 13 % 150 - 75 + 0.25).alias("lat"))
+    n = R.nearest(points, T.coordinates(spark, sf), 20.0)
+    return n.agg(F.count("*").alias("points"), *[F.round(f("km"), 4).alias(a) for f, a in ((F.avg, "mean_km"), (F.min, "min_km"), (F.max, "max_km"))])
+
+
+@query(SP.replace("SELECT p.source, p.target, CAST(m.cost AS DOUBLE) AS cost FROM pairs20 p LEFT JOIN m ON m.source = p.source AND m.node = p.target", "SELECT count(*) AS pairs, CAST(count(*) FILTER (WHERE m.cost IS NULL) AS BIGINT) AS unroutable FROM pairs20 p LEFT JOIN m ON m.source = p.source AND m.node = p.target"))
+def unroutable_pairs(spark, sf):
+    edges, nodes = parts(spark, sf)
+    return R.routes(edges, _pairs(nodes)).agg(F.count("*").alias("pairs"), F.count(F.when(F.col("path").isNull(), 1)).alias("unroutable"))
+
+
+@query()
+def clean_routes(spark, sf):
+    """Routes between ends with the coordinates of every step: source, target, pos, x1, y1, x2, y2."""
+    edges, c = parts(spark, sf)
+    found = R.routes(R.routing(edges, c), _pairs(c)).where("path is not null")
+    legs = found.select("source", "target", F.posexplode(P.kgrams(F.col("path"), 2)).alias("pos", "leg"))
+    legs = legs.select("source", "target", "pos", F.get("leg", F.lit(0)).alias("a"), F.get("leg", F.lit(1)).alias("b"))
+    return legs.join(c.toDF("a", "x1", "y1"), "a").join(c.toDF("b", "x2", "y2"), "b").drop("a", "b")
+
+
+@query("""WITH v AS (SELECT vec_id AS node, embedding FROM embeddings WHERE vec_id < 200), q AS (SELECT vec_id AS point, embedding AS e FROM embeddings WHERE vec_id >= 200 AND vec_id < 260)
+SELECT point, arg_min(node, (round(list_distance(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 9), node)) AS node FROM v, q GROUP BY point""")
+def embedding_decode(spark, sf):
+    """The vocabulary vector nearest to each given one (the vocabulary is the smaller, bounded side)."""
+    e = T.read(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    vocab = e.where("vec_id < 200").select(F.lit(0).alias("k"), F.struct(F.col("vec_id").alias("node"), "v").alias("x")).groupBy("k").agg(F.collect_list("x").alias("all"))
+    asked = e.where("vec_id >= 200 and vec_id < 260").withColumn("k", F.lit(0)).join(F.broadcast(vocab), "k")
+
+    def far(x):
+        return F.struct(F.round(F.sqrt(F.aggregate(F.zip_with("v", x["v"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y)), 9).alias("d"), x["node"].alias("node"))
+
+    return asked.select(F.col("vec_id").alias("point"), F.array_min(F.transform("all", far))["node"].alias("node"))
+
+
 @query()
 def node_clusters(spark, sf):
     """k-means over coordinates and degrees."""

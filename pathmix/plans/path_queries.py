@@ -117,6 +117,16 @@ def cluster_encode(spark, sf):
     return W.encode(paths, dim).select("trip_id", txt().alias("path"))
 
 
+@query(f"""WITH {LI}, known AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT DISTINCT node FROM li WHERE trip_id % 50 = 0)), t AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY pos DESC) AS r FROM li)
+SELECT trip_id, string_agg(CAST(idx AS VARCHAR), '-' ORDER BY pos) AS ctx FROM t LEFT JOIN known USING (node) WHERE r <= 3 GROUP BY trip_id""")
+def context_encode(spark, sf):
+    """The last three nodes of each path as dense ids; null where none is known."""
+    paths = T.supplier_paths(spark, sf)
+    tails = paths.select("trip_id", P.tail(F.col("path"), 3).alias("path"))
+    encoded = W.encode(tails, W.vocabulary(paths.where("pmod(trip_id, 50) = 0")))
+    return tails.select("trip_id").join(encoded, "trip_id", "left").select("trip_id", txt().alias("ctx"))
+
+
 @query(f"WITH {EV} SELECT trip_id, array_to_string(path[greatest(len(path)-4,1):], '-') AS tail FROM trip")
 def last_frame(spark, sf):
     return T.event_paths(spark, sf).select("trip_id", P.text(P.tail(F.col("path"), 5)).alias("tail"))

@@ -211,3 +211,17 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS end, count(*) AS
 def user_sessions(spark, sf):
     rows = T.read(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
     return S.sessions(rows, "12 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query()
+def evaluation_records(spark, sf):
+    """All count-based predictors over two folds: what the reports above aggregate."""
+    from ..operators import registry, splits
+
+    folded = splits.folds(T.event_paths(spark, sf), "trip_id", 2)
+    out = None
+    for split in (0, 1):
+        train, test = (folded.where(F.col("fold") != split), folded.where(F.col("fold") == split))
+        part = registry.evaluate(train.drop("fold"), W.samples(test.drop("fold"), 5), ["mc3", "hwmc3", "akom3", "cpt5", "mogen3"], "events", split)
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("value", F.round("value", 6))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import paths as P
 from ..operators import decode as C
@@ -187,14 +188,40 @@ def candidates_fallback(spark, sf):
 
 @query(f"""{CAND}, cl AS (SELECT key, c AS cluster, (1.0::DOUBLE + (key + c) % 4) / 10 AS mass FROM (SELECT DISTINCT key FROM rows), (SELECT unnest(range(0, 7)) AS c)),
 j AS (SELECT ca.key, cand AS node, ca.p AS share, coalesce(mass, 0) * ca.p / nullif(sum(ca.p) OVER (PARTITION BY ca.key, cand % 7), 0) AS raw FROM ca LEFT JOIN cl ON cl.key = ca.key AND cl.cluster = cand % 7)
-SELECT key, node, round(coalesce(coalesce(raw, 0) / nullif(sum(coalesce(raw, 0)) OVER (PARTITION BY key), 0), share), 6) AS p FROM j""")
+SELECT key, node, round(coalesce(coalesce(raw, 0) / nullif(sum(coalesce(raw, 0)) OVER (PARTITION BY key), 0), share) + 1e-9, 6) AS p FROM j""")
 def decode_cluster(spark, sf):
     """Cluster mass (a fixed pattern here) shared out over the candidates."""
     cands = _candidates(spark, sf)
     keys = cands.select("key").distinct()
     mass = keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("cluster")).withColumn("p", (1.0 + (F.col("key") + F.col("cluster")) % 4) / 10)
     clusters = T.coordinates(spark, sf).select("node", (F.col("node") % 7).alias("cluster"))
-    return C.from_clusters(mass, cands, clusters).select("key", "node", F.round("p", 6).alias("p"))
+    return C.from_clusters(mass, cands, clusters).select("key", "node", F.round(F.col("p") + 1e-9, 6).alias("p"))
+
+
+@query(f"""WITH {LI}, {GEO}, v AS (SELECT node, count(*) AS n FROM li GROUP BY 1), pr AS (SELECT geo.node, geo.node % 7 AS cluster, (coalesce(n, 0) + 1)::DOUBLE / sum(coalesce(n, 0) + 1) OVER (PARTITION BY geo.node % 7) AS s FROM geo LEFT JOIN v USING (node))
+SELECT k AS key, node, round(s * (1 + (k + cluster) % 3) / 13 + 1e-9, 6) AS p FROM pr, (SELECT unnest(range(0, 4)) AS k)""")
+def decode_cluster_dense(spark, sf):
+    """Cluster mass over all nodes of each cluster, for contexts without candidates."""
+    visits = W.steps(T.supplier_paths(spark, sf)).groupBy("node").agg(F.count("*").alias("n"))
+    share = F.coalesce("n", F.lit(0)) + 1
+    clusters = T.coordinates(spark, sf).select("node", (F.col("node") % 7).alias("cluster"))
+    prior = clusters.join(visits, "node", "left").select("node", (share / F.sum(share).over(Window.partitionBy("cluster"))).alias("p"))
+    mass = spark.range(4).select(F.col("id").alias("key"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("cluster")).withColumn("p", (1 + (F.col("key") + F.col("cluster")) % 3) / 13)
+    return C.dense_clusters(mass, clusters, prior).select("key", "node", F.round(F.col("p") + 1e-9, 6).alias("p"))
+
+
+@query(f"""{SCORES}, q AS (SELECT f.trip_id, (SELECT avg(CASE WHEN f.pred[i] = f.truth[i] THEN 1.0::DOUBLE ELSE 0 END) FROM range(1, len(f.truth) + 1) t(i)) AS acc, f.pred = f.truth AS exact FROM f)
+SELECT count(*) AS paths, round(avg(acc), 6) AS node_accuracy, round(stddev_pop(acc), 6) AS node_accuracy_std, CAST(count(*) FILTER (WHERE exact) AS BIGINT) AS exact_matches, round(avg(edits / steps), 6) AS edit_share FROM q JOIN ps USING (trip_id)""")
+def full_path_evaluation(spark, sf):
+    """Node accuracy, exact matches and normalised edit distance of greedy continuations."""
+    train = T.event_paths(spark, sf).where(TRAIN)
+    rolled = O.greedy(_seeds(spark, sf), _backoff(train, 3), 5)
+    same = F.zip_with("pred", "truth", lambda a, b: (a == b).cast("double"))
+    rows = rolled.select((D.total(same, lambda x: x) / F.size("truth")).alias("acc"), (F.col("pred") == F.col("truth")).alias("exact"), (P.edit_distance(F.col("pred"), F.col("truth")) / F.greatest(F.size("pred"), F.size("truth"))).alias("edits"))
+    return rows.agg(
+        F.count("*").alias("paths"), F.round(F.avg("acc"), 6).alias("node_accuracy"), F.round(F.stddev_pop("acc"), 6).alias("node_accuracy_std"), F.count(F.when(F.col("exact"), 1)).alias("exact_matches"),
+        F.round(F.avg("edits"), 6).alias("edit_share"),
+    )
 
 
 # splits
