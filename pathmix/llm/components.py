@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,16 +13,21 @@ from .common import drop_settled, settle
 
 #: Far beyond the steps that any graph needs (their number grows with the logarithm of the size).
 MOST_STEPS = 60
+#: Up to so many distinct links (16 bytes each) are solved by one task; more take the alternating steps.
+ONE_TASK = 500_000
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK) -> DataFrame:
     """id and component (smallest id reachable) of every id in a link; settled in the shared folder.
 
     Links are undirected, may be repeated and may join an id with itself; nulls are left out. Only minima per id are
     gathered, so an id with very many links is summed before it is shuffled, and joins on it can be split.
     """
     pairs = links.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).where("u is not null and v is not null")
-    now = settle(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    if one_task and edges.limit(one_task + 1).count() <= one_task:
+        return settle(edges.repartition(1).mapInArrow(_solve, "id bigint, component bigint"))
+    now = settle(edges)
     mark = _mark(now)
     for _ in range(MOST_STEPS):
         large = _large_star(now)
@@ -36,6 +45,32 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return out
 
 
+def merged(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least index reachable from each of 0..n-1 over links a-b."""
+    low = np.arange(n)
+    while True:
+        before = low.copy()
+        least = np.minimum(low[a], low[b])
+        np.minimum.at(low, low[a], least)
+        np.minimum.at(low, low[b], least)
+        np.minimum.at(low, a, least)
+        np.minimum.at(low, b, least)
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for batch in batches:
+        u.append(np.asarray(batch.column(0)))
+        v.append(np.asarray(batch.column(1)))
+    ids, place = np.unique(np.concatenate([*u, *v]), return_inverse=True)
+    half = len(place) // 2
+    low = merged(len(ids), place[:half], place[half:])
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[low])], names=["id", "component"])
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 

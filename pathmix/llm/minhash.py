@@ -17,8 +17,10 @@ from .components import components
 COORDS, COMPARED = 64, 248
 #: A score above all estimates: members of one component.
 JOINED = 1 << 20
-#: Ids that are broadcast as one list (8 bytes each); with more, tables are joined instead.
-LISTED = 4_000_000
+#: Shingles whose sets one task holds at once when texts of a tile meet with their full sets.
+VOLUME = 4_000_000
+#: Rows of a few numbers each that are broadcast; with more, tables are joined by shuffling both.
+LISTED = 1_000_000
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -93,28 +95,62 @@ def forest(sketches: np.ndarray, comp: np.ndarray, least: int) -> list[tuple[int
     return out
 
 
-def across(sketches: np.ndarray, comp: np.ndarray, main: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """All pairs of different components with an estimate of at least `least`; members of `main` only meet others."""
+def confirmed(comp: np.ndarray, main: np.ndarray, views: np.ndarray, sets: list[np.ndarray], least: int, percent: int) -> list[tuple[int, int]]:
+    """Links between different components of one tile that hold on the full sets; of those that join the same two
+    components one is given. Every pair of different components whose estimate is at least `least` is counted,
+    unless links found before it have joined them; members of `main` only meet others."""
+    size = np.array([len(x) for x in sets])
+    ends = np.cumsum(size)
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(place) + 1, bool)
+    comp = comp.copy()
     out = []
     for i in np.flatnonzero(~main):
-        near = (agree(sketches[i], sketches) >= least) & (comp != comp[i])
+        near = (comp != comp[i]) & (agree(views[i], views) >= least)
         near[: i + 1] &= main[: i + 1]
-        out += [(int(i), int(j)) for j in np.flatnonzero(near)]
+        other = np.flatnonzero(near)
+        other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
+        if not len(other):
+            continue
+        own = place[ends[i] - size[i] : ends[i]]
+        mark[own] = True
+        lengths = size[other]
+        heads = np.cumsum(lengths) - lengths
+        take = np.arange(lengths.sum()) + np.repeat(ends[other] - lengths - heads, lengths)
+        shared = np.add.reduceat(mark[place[take]].astype(np.int64), heads)
+        mark[own] = False
+        for j in other[100 * shared >= percent * (size[i] + lengths - shared)]:
+            if comp[j] != comp[i]:
+                out.append((int(i), int(j)))
+                comp[comp == comp[j]] = comp[i]
     return out
 
 
+LINK = "a bigint, b bigint"
+
+
+def _links(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+    rows = sorted(pairs)
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in rows], pa.int64()), pa.array([p[1] for p in rows], pa.int64())], names=["a", "b"])
+
+
+def listed(rows: DataFrame, ids: DataFrame, count: int) -> DataFrame:
+    """The rows whose id is listed: the list is broadcast up to LISTED ids, beyond that both sides are shuffled."""
+    return rows.join(F.broadcast(ids) if count <= LISTED else ids, "id", "left_semi")
+
+
 class ChosenPath:
     """The join: sketches of texts in, confirmed components out.
 
     Every tree sends a text to children named by some of its sketch's minwise tokens; whether a token opens a child
     depends on the path and the token alone, so similar texts meet. Nodes of up to `leaf` texts are compared
-    exhaustively on compact sketches; larger ones branch on. What seems similar is confirmed on full sets before it
-    counts. Rounds alternate between proposing links and merging what is confirmed: a node first proposes a spanning
-    forest of its best estimates, and then, once those are merged, every pair that is still apart. So a group of n
-    copies costs n proposals, not n squared, and no pair goes unexamined.
+    exhaustively on compact sketches; larger ones branch on. A node proposes a spanning forest of its estimates, so
+    n copies make at most n proposals, and whatever resembles each other in some node is in one component of all
+    proposals. Such a group meets once, with its full sets: there every pair whose estimate is high enough is counted
+    exactly unless the links found before it have joined it. So no link is lost and no pairs are written out.
     """
 
-    def __init__(self, percent: int = 80, width: int = 4, trees: int = 12, leaf: int = 2048, depth: int = 8):
+    def __init__(self, percent: int = 80, width: int = 4, trees: int = 12, leaf: int = 8192, depth: int = 8):
         self.percent, self.width, self.trees, self.leaf, self.depth = percent, width, trees, leaf, depth
         share = percent / 100
         #: Estimates four and a half standard errors below the bound still count as candidates.
@@ -148,30 +184,22 @@ class ChosenPath:
 
         return df.select(F.col(key).cast("bigint"), text).mapInArrow(run, "id bigint, n bigint, i1 bigint, i2 bigint, path binary, view binary")
 
-    def sets(self, df: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
-        """id and the full sorted set of each listed document; only texts of listed documents are worked on."""
+    def sets(self, df: DataFrame, ids: DataFrame, key: str, text: str, repeated: bool) -> DataFrame:
+        """id, view and the full sorted set of each listed document; only texts of listed documents are worked on."""
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if wanted is not None:
-                    own = np.asarray(batch.column(0).fill_null(-1))
-                    place = np.minimum(np.searchsorted(wanted.value, own), len(wanted.value) - 1)
-                    batch = batch.filter(pa.array(wanted.value[place] == own))
                 data, at = flat(batch.column(1))
                 for i, j in pieces(at):
                     values, first = shingles(data, at, i, j, width)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))], names=["id", "members"]
-                    )
+                    view = pa.array([r.tobytes() for r in compact(values, first)], pa.binary())
+                    members = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), view, members], names=["id", "view", "members"])
 
-        wanted, rows = None, df.select(F.col(key).cast("bigint").alias("id"), text)
-        if 0 < ids.count() <= LISTED:
-            listed = np.sort(np.fromiter((r[0] for r in ids.toLocalIterator()), np.int64))
-            wanted = df.sparkSession.sparkContext.broadcast(listed)
-        else:
-            rows = rows.join(ids, "id", "left_semi")
-        return rows.mapInArrow(run, "id bigint, members array<bigint>").where(F.size("members") > 0).dropDuplicates(["id", "members"])
+        rows = listed(df.select(F.col(key).cast("bigint").alias("id"), text), ids, ids.count())
+        out = rows.mapInArrow(run, "id bigint, view binary, members array<bigint>").where(F.size("members") > 0)
+        return out.dropDuplicates(["id", "members"]) if repeated else out
 
     # nodes
 
@@ -196,29 +224,80 @@ class ChosenPath:
         return rows.select("node", "id", "path").mapInArrow(run, "node bigint, id bigint")
 
     def tiles(self, rows: DataFrame) -> DataFrame:
-        """Proposed links (a < b) of rows (node, tile, stage, id, comp, main, view) in which each tile is bounded."""
+        """Proposed links (a < b) of rows (node, tile, id, comp, view): a spanning forest of each tile."""
         least = self.least
 
-        def settle_tile(stage: int, ids: np.ndarray, comp: np.ndarray, main: np.ndarray, views: np.ndarray) -> list[tuple[int, int]]:
-            if len(ids) == 2:
-                found = [(0, 1)] if comp[0] != comp[1] and agree(views[0], views[1:])[0] >= least else []
-            else:
-                found = forest(views, comp, least) if stage == 0 else across(views, comp, main, least)
-            return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in found]
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table, edges in grouped(batches, 2):
-                stage, ids, comp, main = (table.column(k).to_numpy() for k in (2, 3, 4, 5))
-                views = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, COMPARED)
-                links: set[tuple[int, int]] = set()
+                ids, comp = (table.column(k).to_numpy() for k in (2, 3))
+                views = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8).reshape(-1, COMPARED)
+                out: set[tuple[int, int]] = set()
                 for a, b in zip(edges, edges[1:], strict=False):
-                    if b - a > 1:
-                        links.update(settle_tile(int(stage[a]), ids[a:b], comp[a:b], main[a:b], views[a:b]))
-                pairs = sorted(links)
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+                    if b - a == 2:
+                        found = [(0, 1)] if comp[a] != comp[a + 1] and agree(views[a], views[a + 1 : b])[0] >= least else []
+                    else:
+                        found = forest(views[a:b], comp[a:b], least) if b - a > 1 else []
+                    out.update((int(min(ids[a + i], ids[a + j])), int(max(ids[a + i], ids[a + j]))) for i, j in found)
+                yield _links(out)
 
         dealt = rows.repartition("node", "tile").sortWithinPartitions("node", "tile", "id")
-        return dealt.select("node", "tile", "stage", "id", "comp", "main", "view").mapInArrow(run, "a bigint, b bigint")
+        return dealt.select("node", "tile", "id", "comp", "view").mapInArrow(run, LINK)
+
+    def exact(self, groups: DataFrame, fresh: DataFrame | None, found: DataFrame | None, sizes: DataFrame, sets: DataFrame) -> list[DataFrame]:
+        """Confirmed links (a, b) within groups (id, component) of what resembles each other, settled.
+
+        `fresh`: links proposed since the groups met last (None: all); only groups with one between different
+        components meet. A group whose sets are too large for one task is cut into blocks. These first settle within
+        themselves; then the blocks of its largest component meet all else in the group, if that fits one task, or
+        all blocks meet pairwise.
+        """
+        known = groups.select("id", F.col("component").alias("group")).join(sizes, "id")
+        if found is None:
+            known = known.withColumn("comp", F.col("id"))
+        else:
+            known = known.join(found.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+            ends = found.select("id", F.col("component").alias("c"))
+            open_ = fresh.join(ends.toDF("a", "ca"), "a", "left").join(ends.toDF("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+            meeting = open_.select(F.col("a").alias("id")).join(groups, "id").select(F.col("component").alias("group")).distinct()
+            known = known.join(meeting, "group", "left_semi")
+        volume = known.groupBy("group").agg(F.sum("n").alias("volume"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
+        known = settle(known.join(volume.select("group", "volume"), "group"))
+        count = F.ceil(F.col("volume") / VOLUME).cast("int")
+        block = F.pmod(F.xxhash64("id"), count).cast("int")
+        links = [settle(self._meet(known.select("group", block.alias("tile"), "id", "comp", F.lit(False).alias("main")), sets))]
+        large = known.where(F.col("volume") > VOLUME)
+        if large.limit(1).count():
+            again = components(links[0] if found is None else links[0].union(found.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+            large = large.drop("comp").join(again.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+            each = large.groupBy("group", "comp").agg(F.sum("n").alias("n"))
+            tops = each.groupBy("group").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+            large = large.join(tops.select("group", F.col("top.comp").alias("main_comp"), F.col("top.n").alias("main_n")), "group").withColumn("main", F.col("comp") == F.col("main_comp"))
+            few = F.col("volume") - F.col("main_n") <= VOLUME
+            whole = F.sequence(F.lit(0), count - 1)
+            pair = F.transform(whole, lambda o: F.least(o, block) * count + F.greatest(o, block))
+            tile = F.when(few & F.col("main"), F.array(block)).when(few, whole).otherwise(F.array_distinct(pair))
+            tiled = settle(large.select("group", F.explode(tile).alias("tile"), "id", "comp", (F.col("main") & few).alias("main")))
+            links.append(settle(self._meet(tiled, sets)))
+        return links
+
+    def _meet(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
+        least, percent = self.least, self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table, edges in grouped(batches, 2):
+                ids, comp, main = (table.column(k).to_numpy() for k in (2, 3, 4))
+                views = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(-1, COMPARED)
+                members = table.column(6)
+                out: set[tuple[int, int]] = set()
+                for a, b in zip(edges, edges[1:], strict=False):
+                    if b - a > 1 and not main[a:b].all():
+                        own = [members[k].values.to_numpy().view(np.uint64) for k in range(a, b)]
+                        out.update((int(min(ids[a + i], ids[a + j])), int(max(ids[a + i], ids[a + j]))) for i, j in confirmed(comp[a:b], main[a:b], views[a:b], own, least, percent))
+                yield _links(out)
+
+        few = F.broadcast(rows) if rows.count() <= LISTED else rows
+        dealt = sets.join(few, "id").repartition("group", "tile").sortWithinPartitions("group", "tile", "id")
+        return dealt.select("group", "tile", "id", "comp", "main", "view", "members").mapInArrow(run, LINK)
 
     def to_pivot(self, rows: DataFrame) -> DataFrame:
         """Proposed links between (id, view) and the pivot of its node (pivot, pivot_view)."""
@@ -235,80 +314,72 @@ class ChosenPath:
                 near &= a != b
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[near]), pa.array(np.maximum(a, b)[near])], names=["a", "b"])
 
-        return rows.select("id", "pivot", "view", "pivot_view").mapInArrow(run, "a bigint, b bigint")
+        return rows.select("id", "pivot", "view", "pivot_view").mapInArrow(run, LINK)
 
-    def round(self, rows: DataFrame, found: DataFrame | None, reps: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
-        """Proposals of all nodes, and the rows (node, id, stage) of the next round."""
+    def round(self, rows: DataFrame, found: DataFrame | None, reps: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+        """Proposals of the tiles, those to pivots, and the rows (node, id) of the next round, if any.
+
+        A node is tiled whole if it is small; cut into blocks of its largest component, each with all others, if
+        those are few; else its texts meet a pivot outside that component and branch on.
+        """
         known = rows if found is None else rows.join(found, "id", "left")
-        known = known.select("node", "id", "stage", F.coalesce("component", "id").alias("comp") if found is not None else F.col("id").alias("comp"))
-        each = known.groupBy("node", "comp").agg(F.count("*").alias("k"), F.min("id").alias("first"))
-        sizes = each.groupBy("node").agg(F.sum("k").alias("n"), F.max(F.struct("k", (-F.col("comp")).alias("c"))).alias("top"), F.count("*").alias("comps"))
-        sizes = sizes.where("comps > 1").select("node", "n", (-F.col("top.c")).alias("main_comp"), (F.col("n") - F.col("top.k")).alias("others"))
-        known = settle(known.join(sizes, "node").withColumn("main", F.col("comp") == F.col("main_comp")))
-        small = (F.col("n") <= self.leaf) | (F.col("others") <= self.leaf)
-        count = F.ceil(F.col("n") / self.leaf).cast("int")
+        known = known.select("node", "id", (F.coalesce("component", "id") if found is not None else F.col("id")).alias("comp"))
+        each = known.groupBy("node", "comp").agg(F.count("*").alias("k"))
+        sizes = each.groupBy("node").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
+        sizes = sizes.where("comps > 1").select("node", "size", F.col("top.comp").alias("main_comp"), (F.col("size") - F.col("top.k")).alias("others"))
+        known = known.join(sizes, "node").withColumn("main", F.col("comp") == F.col("main_comp"))
+        count = F.ceil(F.col("size") / self.leaf).cast("int")
         block = F.pmod(F.xxhash64("id"), count).cast("int")
-        within = known.where(small)
-        tile = F.when(F.col("n") <= self.leaf, F.array(F.lit(0))).when(F.col("main"), F.array(block)).otherwise(F.sequence(F.lit(0), count - 1))
-        tiled = within.select("node", F.explode(tile).alias("tile"), "stage", "id", "comp", "main")
-        big = known.where(~small)
+        few = F.col("others") <= self.leaf
+        tile = F.when(F.col("size") <= self.leaf, F.array(F.lit(0))).when(few & F.col("main"), F.array(block)).when(few, F.sequence(F.lit(0), count - 1))
         if last:  # pairs of blocks, each pair a tile: exhaustive, for whatever no branching has parted
-            other = F.sequence(F.lit(0), count - 1)
-            pair = F.transform(other, lambda o: F.least(o, block) * count + F.greatest(o, block))
-            tiled = tiled.union(big.select("node", F.explode(F.array_distinct(pair)).alias("tile"), F.lit(1).alias("stage"), "id", "comp", F.lit(False).alias("main")))
-        proposed = self.tiles(tiled.join(reps.select("id", "view"), "id"))
-        onward = within.where("stage = 0").select("node", "id", F.lit(1).alias("stage"))
-        if not last and big.limit(1).count():
-            pivots = big.where(~F.col("main")).groupBy("node").agg(F.min("id").alias("pivot"))
-            pivots = pivots.join(reps.select(F.col("id").alias("pivot"), F.col("view").alias("pivot_view")), "pivot")
-            with_sketch = big.join(reps, "id")
-            proposed = proposed.union(self.to_pivot(with_sketch.join(pivots, "node")))
-            onward = onward.union(self.children(with_sketch, 1, 2 * self.branch).select("node", "id", F.lit(0).alias("stage")))
-        return proposed.distinct(), onward
-
-    def confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs whose sets are similar enough: 100 * intersection >= percent * union."""
-        left = sets.select(F.col("id").alias("a"), F.col("members").alias("x"))
-        right = sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
-        both = pairs.join(right, "b").join(left, "a")
-        shared = F.size(F.array_intersect("x", "y"))
-        return both.where(100 * shared >= self.percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+            tile = tile.otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), count - 1), lambda o: F.least(o, block) * count + F.greatest(o, block))))
+        tiled = known.select("node", F.explode(tile).alias("tile"), "id", "comp")
+        ids = rows.select("id").distinct()
+        proposed = self.tiles(tiled.join(listed(reps.select("id", "view"), ids, ids.count()), "id"))
+        if last or not sizes.where((F.col("size") > self.leaf) & ~few).limit(1).count():
+            return proposed, None, None
+        big = settle(known.where((F.col("size") > self.leaf) & ~few))
+        ids = big.select("id").distinct()
+        big = settle(big.join(listed(reps, ids, ids.count()), "id"))
+        pivots = big.where(~F.col("main")).groupBy("node").agg(F.min_by(F.struct("id", "view"), "id").alias("p"))
+        pivots = pivots.select("node", F.col("p.id").alias("pivot"), F.col("p.view").alias("pivot_view"))
+        return proposed, self.to_pivot(big.join(pivots, "node")), self.children(big, 1, 2 * self.branch)
 
     def run(self, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """key, n_shingles, component_id, kept: one row per row of `df`; see `near_duplicates`."""
         profiles = settle(self.profiles(df, key, text))
         whole = profiles.where("n > 0 and id is not null")
-        classes = settle(whole.groupBy("i1", "i2", "n").agg(F.min("id").alias("rep")))
-        reps = settle(
-            whole.join(classes.where("rep is not null"), ["i1", "i2", "n"]).where("id = rep").dropDuplicates(["i1", "i2", "n"]).select("id", "path", "view")
-        )
+        repeated = whole.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").limit(1).count() > 0
+        # equal sets have equal sketches, so any of them will do
+        same = whole.groupBy("i1", "i2", "n").agg(F.min("id").alias("rep"), F.first("path").alias("path"), F.first("view").alias("view"))
+        classes = settle(same)
+        reps = classes.select(F.col("rep").alias("id"), "n", "path", "view")
+        if repeated:  # a document with several texts may stand for several sets
+            reps = settle(reps.dropDuplicates(["id", "view"]))
+        sizes = reps.groupBy("id").agg(F.sum("n").alias("n")) if repeated else reps.select("id", "n")
         first = self.children(reps.withColumn("node", F.lit(0).cast("bigint")), self.trees, self.branch)
         shared = first.groupBy("node").agg(F.count("*").alias("k")).where("k > 1").select("node")
-        rows = settle(first.join(shared, "node").select("node", "id", F.lit(0).alias("stage")))
+        rows: DataFrame | None = settle(first.join(shared, "node"))
+        proposed: DataFrame | None = None
         links: DataFrame | None = None
         found: DataFrame | None = None
         sets: DataFrame | None = None
         for depth in range(self.depth + 1):
-            if not rows.limit(1).count():
+            if rows is None:
                 break
-            proposed, onward = self.round(rows, found, reps, depth == self.depth)
-            proposed = settle(proposed)
-            ids = proposed.select(F.col("a").alias("id")).union(proposed.select(F.col("b").alias("id"))).distinct()
-            if sets is not None:
-                ids = ids.join(sets.select("id").distinct(), "id", "left_anti")
-            ids = settle(ids)
-            if ids.limit(1).count():
-                more = settle(self.sets(df, ids, key, text))
-                sets = more if sets is None else sets.union(more)
-            drop_settled(ids)
-            if sets is not None:
-                confirmed = settle(self.confirm(proposed, sets))
-                links = confirmed if links is None else links.union(confirmed)
-                found = components(links)
-                found = found.select("id", "component")
-            drop_settled(proposed)
-            rows = settle(onward)
-        out = profiles.select("id", "n", "i1", "i2").join(classes, ["i1", "i2", "n"], "left")
+            tiled, pivots, onward = self.round(rows, found, reps, depth == self.depth)
+            pairs = settle(tiled if pivots is None else tiled.union(pivots))
+            proposed = pairs if proposed is None else pairs.union(proposed)
+            groups = components(proposed)
+            new = groups.select("id") if sets is None else groups.select("id").join(sets.select("id").distinct(), "id", "left_anti")
+            more = settle(self.sets(df, new, key, text, repeated))
+            sets = more if sets is None else sets.union(more)
+            for part in self.exact(groups, pairs, found, sizes, sets):
+                links = part if links is None else links.union(part)
+            found = components(links)
+            rows = None if onward is None else settle(onward)
+        out = profiles.select("id", "n", "i1", "i2").join(classes.select("i1", "i2", "n", "rep"), ["i1", "i2", "n"], "left")
         rep = F.coalesce("rep", "id")
         if found is not None:
             out = out.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")

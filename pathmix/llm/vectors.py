@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import grouped, settle
-from .components import components
+from .components import components, merged
 
 #: Rows at home in one tile, pairs that are verified at once, and the tile size that the grid aims at.
 TILE, PAIRS, AIM = 2048, 1 << 15, 512
@@ -68,19 +68,6 @@ class Subspaces:
         return (np.add.reduceat((za - zb) ** 2, self.starts, axis=1) <= self.budget).argmax(axis=1)
 
 
-def _merge(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least index reachable from each of 0..n-1 over links a-b."""
-    low = np.arange(n)
-    while True:
-        before = low.copy()
-        least = np.minimum(low[a], low[b])
-        np.minimum.at(low, a, least)
-        np.minimum.at(low, b, least)
-        low = low[low]
-        if (low == before).all():
-            return low
-
-
 def _profiles(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """id, label, width and raw (doubles) of each row; raw is null where it links with nothing."""
 
@@ -157,7 +144,7 @@ def _linked(tiles: DataFrame, spaces: Subspaces, cosine: float) -> DataFrame:
                     order = np.argsort(ids[lo:hi], kind="stable")
                     rank = np.empty(hi - lo, np.int64)
                     rank[order] = np.arange(hi - lo)
-                    root = ids[lo:hi][order][_merge(hi - lo, rank[a], rank[b])][rank]
+                    root = ids[lo:hi][order][merged(hi - lo, rank[a], rank[b])][rank]
                     links = np.bincount(a, k[b], hi - lo) + np.bincount(b, k[a], hi - lo)
                     seen = np.flatnonzero(links)
                     out.append((ids[lo:hi][seen], links[seen].astype(np.int64), root[seen]))
