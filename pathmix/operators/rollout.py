@@ -15,7 +15,7 @@ from .graph import cut
 from .score import rounded
 
 
-def greedy(seeds: DataFrame, predict: Callable[[DataFrame], DataFrame], tail: int, every: int = 3) -> DataFrame:
+def greedy(seeds: DataFrame, predict: Callable[[DataFrame], DataFrame], tail: int) -> DataFrame:
     """seeds (key columns, ctx, steps) continued by the most probable node, `steps` times each: keys, pred, and with
     `truth` (the nodes that really follow) also ranks and p of the true nodes.
 
@@ -24,7 +24,7 @@ def greedy(seeds: DataFrame, predict: Callable[[DataFrame], DataFrame], tail: in
     """
     keys = [c for c in seeds.columns if c not in ("ctx", "steps", "truth")]
     rows = seeds.withColumn("pred", F.array().cast("array<int>")).withColumn("ranks", F.array().cast("array<int>")).withColumn("probs", F.array().cast("array<double>"))
-    most = seeds.agg(F.max("steps")).first()[0] or 0
+    most, last = seeds.agg(F.max("steps")).first()[0] or 0, None
     for step in range(most):
         rows = rows.withColumn("ctx", P.tail(F.col("ctx"), tail))
         ahead = predict(rows.where(F.col("steps") > step).select("ctx").distinct())
@@ -41,8 +41,8 @@ def greedy(seeds: DataFrame, predict: Callable[[DataFrame], DataFrame], tail: in
             .withColumn("ctx", F.when(going, F.concat("ctx", F.array("_n"))).otherwise(F.col("ctx")))
             .drop("d", "_n")
         )
-        if step % every == every - 1:
-            rows = cut(rows)
+        # the next step reads these rows twice (contexts and paths), so they are written once
+        rows = last = cut(rows, last)
     return rows.select(*keys, "truth", "pred", "ranks", "probs")
 
 
@@ -81,11 +81,11 @@ def ar_metrics(scores: DataFrame) -> DataFrame:
     )
 
 
-def beam(seeds: DataFrame, predict: Callable[[DataFrame], DataFrame], tail: int, width: int = 3, every: int = 3) -> DataFrame:
+def beam(seeds: DataFrame, predict: Callable[[DataFrame], DataFrame], tail: int, width: int = 3) -> DataFrame:
     """keys, pred, logp, place: the `width` most probable continuations of each seed."""
     keys = [c for c in seeds.columns if c not in ("ctx", "steps", "truth")]
     rows = seeds.select(*keys, "ctx", "steps").withColumn("pred", F.array().cast("array<int>")).withColumn("logp", F.lit(0.0))
-    most = seeds.agg(F.max("steps")).first()[0] or 0
+    most, last = seeds.agg(F.max("steps")).first()[0] or 0, None
     for step in range(most):
         rows = rows.withColumn("ctx", P.tail(F.col("ctx"), tail))
         going, done = rows.where(F.col("steps") > step), rows.where(F.col("steps") <= step)
@@ -93,18 +93,18 @@ def beam(seeds: DataFrame, predict: Callable[[DataFrame], DataFrame], tail: int,
         grown = near.select(*keys, F.concat("ctx", F.array("x.node")).alias("ctx"), "steps", F.concat("pred", F.array("x.node")).alias("pred"), (F.col("logp") + F.ln("x.p")).alias("logp"))
         order = Window.partitionBy(*keys).orderBy(F.desc(F.round("logp", 9)), "pred")
         rows = grown.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= width).drop("_r").unionByName(done.select(*keys, "ctx", "steps", "pred", "logp"))
-        if step % every == every - 1:
-            rows = cut(rows)
+        # the next step reads these rows twice (contexts and paths), so they are written once
+        rows = last = cut(rows, last)
     order = Window.partitionBy(*keys).orderBy(F.desc(F.round("logp", 9)), "pred")
     return rows.select(*keys, "pred", "logp", F.row_number().over(order).alias("place"))
 
 
-def between(pairs: DataFrame, predict: Callable[[DataFrame], DataFrame], length: int, most: int = 20, recent: int = 9, every: int = 3) -> DataFrame:
+def between(pairs: DataFrame, predict: Callable[[DataFrame], DataFrame], length: int, most: int = 20, recent: int = 9) -> DataFrame:
     """pairs (key, origin, destination) walked greedily from `length` copies of the origin: key, path, reached. Where
     the best node is among the last `recent` ones the second best is taken; a walk ends at its destination."""
     rows = pairs.withColumn("path", F.array("origin")).withColumn("ctx", F.array_repeat("origin", length)).withColumn("reached", F.col("origin") == F.col("destination"))
-    keys = [c for c in pairs.columns if c not in ("origin", "destination")]
-    for step in range(most):
+    keys, last = [c for c in pairs.columns if c not in ("origin", "destination")], None
+    for _ in range(most):
         rows = rows.withColumn("ctx", P.tail(F.col("ctx"), length))
         rows = rows.join(predict(rows.where(~F.col("reached")).select("ctx").distinct()), "ctx", "left")
         tied = rounded(F.col("d"))
@@ -119,8 +119,8 @@ def between(pairs: DataFrame, predict: Callable[[DataFrame], DataFrame], length:
             .withColumn("reached", F.col("reached") | F.coalesce(F.col("_n") == F.col("destination"), F.lit(False)))
             .drop("d", "_n")
         )
-        if step % every == every - 1:
-            rows = cut(rows)
+        # the next step reads these rows twice (contexts and paths), so they are written once
+        rows = last = cut(rows, last)
     return rows.select(*keys, "origin", "destination", "path", "reached")
 
 
