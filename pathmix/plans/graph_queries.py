@@ -214,9 +214,9 @@ def unroutable_pairs(spark, sf):
 
 @query()
 def clean_routes(spark, sf):
-    """Routes between ends with the coordinates of every step: source, target, pos, x1, y1, x2, y2."""
+    """Undirected routes between ends of edges with the coordinates of every step: source, target, pos, x1, y1, x2, y2."""
     edges, c = parts(spark, sf)
-    found = R.routes(R.routing(edges, c), _pairs(c)).where("path is not null")
+    found = R.routes(R.routing(edges, c), edges).where("path is not null")
     legs = found.select("source", "target", F.posexplode(P.kgrams(F.col("path"), 2)).alias("pos", "leg"))
     legs = legs.select("source", "target", "pos", F.get("leg", F.lit(0)).alias("a"), F.get("leg", F.lit(1)).alias("b"))
     return legs.join(c.toDF("a", "x1", "y1"), "a").join(c.toDF("b", "x2", "y2"), "b").drop("a", "b")
