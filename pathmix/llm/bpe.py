@@ -16,8 +16,8 @@ import regex
 import tokenizers
 from pyspark.sql import DataFrame
 
-#: Words remembered by one Python worker, and their greatest length; beyond it the memory starts afresh.
-MEMORY_WORDS, MEMORY_LENGTH = 400_000, 48
+#: Words and token pairs remembered by one Python worker (beyond it the memory starts afresh), and a word's length.
+MEMORY_WORDS, MEMORY_PAIRS, MEMORY_LENGTH = 150_000, 150_000, 48
 #: Fixed values of the tokenizer format: what a text is split into.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -99,7 +99,7 @@ class WordBpe:
         """Whether `left`, `right` side by side is what the merges make of their joint text."""
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) >= 1 << 20:
+            if len(self.fits) >= MEMORY_PAIRS:
                 self.fits.clear()
             known = self.fits[left, right] = self._compatible(left, right)
         return known

@@ -12,13 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the vectorised kernels handle at once; their temporary arrays take about 60 times as much.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = (1 << 20) - 1
+#: Rows that go to a Python worker at once, at most: texts can be long.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data set. Python workers started from now on find this package where the driver found it."""
     if (root := str(Path(__file__).parents[2])) not in (paths := spark.sparkContext.environment.get("PYTHONPATH", "")).split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (paths, root)))
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -15,7 +15,7 @@ from .common import Words, flat, mix, pieces
 #: Bytes of item text in one block of the test set; each block is broadcast by itself, so its size is bounded.
 BLOCK_BYTES = 4 << 20
 #: Bytes of document text in one shard: one suffix array.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = (1 << 20) - 1
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[65:91] = IS_WORD[97:123] = IS_WORD[128:] = True

@@ -138,15 +138,17 @@ def weigh(df: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "te
     """
     columns = keep or [key]
     model = df.sparkSession.sparkContext.broadcast(ratio)
-    rows = df.select(*[F.col(c) for c in columns], F.col(text).alias("_text"), _gumbel(F.col(key)).alias("_noise"))
+    rows = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)], F.col(text).alias("text"), _gumbel(F.col(key)).alias("noise"))
     n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weight = _weights(batch.column(n), model.value)
             draw = weight / TEMPERATURE + np.asarray(batch.column(n + 1))
-            out = pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(weight), pa.array(draw)], names=[*columns, "log_weight", "draw"])
-            yield out if least is None else out.filter(pa.array(draw >= least)).select(columns)
+            if least is None:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(weight), pa.array(draw)], names=[*columns, "log_weight", "draw"])
+            else:  # by place: the columns may bear any names
+                yield pa.RecordBatch.from_arrays(batch.columns[:n], names=columns).filter(pa.array(draw >= least))
 
     schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*columns).dtypes)
     return rows.mapInArrow(run, schema + (", log_weight double, draw double" if least is None else ""))

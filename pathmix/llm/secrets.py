@@ -81,9 +81,9 @@ def _candidates(df: DataFrame, key: str, text: str, keep: list[str]) -> DataFram
     body = F.coalesce(F.col(text), F.lit(""))
     assign = F.filter(S.find(body, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= LEAST_ASSIGN)
     base = F.concat(assign, S.find(body, ACCESS, 1, F.contains(body, F.lit("AKIA"))), S.find(body, HEX, 2))
-    df = df.withColumn("_base", base).withColumn("_runs", S.find(body, RUN, 3))
-    tested = F.transform("_runs", lambda s: F.struct(s["start"], s["end"], s["kind"], s["match"], _battery(s["match"]).alias("test")))
-    return df.select(*keep, "_base", tested.alias("_runs"))
+    df = df.withColumn("__secret_base", base).withColumn("__secret_runs", S.find(body, RUN, 3))
+    tested = F.transform("__secret_runs", lambda s: F.struct(s["start"], s["end"], s["kind"], s["match"], _battery(s["match"]).alias("test")))
+    return df.select(*keep, "__secret_base", tested.alias("__secret_runs"))
 
 
 def _floors(found: DataFrame, rate: float) -> dict[int, int]:
@@ -91,7 +91,7 @@ def _floors(found: DataFrame, rate: float) -> dict[int, int]:
 
     Grades are p-values on a fine logarithmic grid, so the counts per class and grade have a fixed size.
     """
-    grades = found.select(F.explode("_runs").alias("r")).where("r.test is not null").groupBy("r.test.class", "r.test.grade").agg(F.count("*").alias("n"))
+    grades = found.select(F.explode("__secret_runs").alias("r")).where("r.test is not null").groupBy("r.test.class", "r.test.grade").agg(F.count("*").alias("n"))
     down = Window.partitionBy("class").orderBy(F.desc("grade")).rowsBetween(Window.unboundedPreceding, 0)
     ranked = grades.withColumn("rank", F.sum("n").over(down)).withColumn("m", F.sum("n").over(Window.partitionBy("class")))
     passed = ranked.where(F.pow(F.lit(10.0), -F.col("grade") / 50) <= rate * F.col("rank") / F.col("m"))
@@ -103,11 +103,11 @@ def _judge(found: DataFrame, rate: float) -> DataFrame:
     floors = _floors(found, rate)
     if floors:
         floor = F.create_map(*[F.lit(x) for pair in floors.items() for x in pair])
-        chosen = F.filter("_runs", lambda s: (s["test"]["grade"] >= floor[s["test"]["class"]]) & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        chosen = F.filter("__secret_runs", lambda s: (s["test"]["grade"] >= floor[s["test"]["class"]]) & ~F.exists("__secret_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
         extra = F.transform(chosen, lambda s: F.struct(s["start"], s["end"], s["kind"], s["match"]))
     else:
         extra = F.array().cast(S.SPAN)
-    return found.withColumn("_all", F.concat("_base", extra))
+    return found.withColumn("__secret_all", F.concat("__secret_base", extra))
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rate: float = 0.01) -> DataFrame:
@@ -123,8 +123,8 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rate: float = 0
     found = settle(_candidates(df.select(key, text), key, text, [key]))
     judged = _judge(found, rate)
     return judged.select(
-        key, S.count(F.col("_base"), 0).alias("n_assign"), S.count(F.col("_base"), 1).alias("n_access"), S.count(F.col("_base"), 2).alias("n_hex"),
-        F.sha2(S.written(F.col("_base"), NAMES), 256).alias("base_sha256"), S.written(F.col("_all"), NAMES).alias("spans"),
+        key, S.count(F.col("__secret_base"), 0).alias("n_assign"), S.count(F.col("__secret_base"), 1).alias("n_access"), S.count(F.col("__secret_base"), 2).alias("n_hex"),
+        F.sha2(S.written(F.col("__secret_base"), NAMES), 256).alias("base_sha256"), S.written(F.col("__secret_all"), NAMES).alias("spans"),
     )
 
 
@@ -134,19 +134,19 @@ def redact(df: DataFrame, text: str = "text", rate: float = 0.01, mark: str = "[
     The bound's counts are taken in a pass of their own, so no text is written or shuffled.
     """
     found = _candidates(df.select(text), text, text, [])
-    counted = settle(found.select(F.transform("_runs", lambda s: F.struct(s["test"].alias("test"))).alias("_runs")).where(F.size("_runs") > 0))
+    counted = settle(found.select(F.transform("__secret_runs", lambda s: F.struct(s["test"].alias("test"))).alias("__secret_runs")).where(F.size("__secret_runs") > 0))
     floors = _floors(counted, rate)
     drop_settled(counted)
     body = F.coalesce(F.col(text), F.lit(""))
     judged = _candidates(df, text, text, df.columns)
     if floors:
         floor = F.create_map(*[F.lit(x) for pair in floors.items() for x in pair])
-        extra = F.transform(F.filter("_runs", lambda s: s["test"]["grade"] >= floor[s["test"]["class"]]), lambda s: F.struct(s["start"], s["end"], s["kind"], s["match"]))
+        extra = F.transform(F.filter("__secret_runs", lambda s: s["test"]["grade"] >= floor[s["test"]["class"]]), lambda s: F.struct(s["start"], s["end"], s["kind"], s["match"]))
     else:
         extra = F.array().cast(S.SPAN)
-    out = judged.withColumn("_all", F.concat("_base", extra))
-    hit = F.size("_all") > 0
-    new = {text: F.when(hit, S.redacted(body, F.col("_all"), mark)).otherwise(F.col(text))}
+    out = judged.withColumn("__secret_all", F.concat("__secret_base", extra))
+    hit = F.size("__secret_all") > 0
+    new = {text: F.when(hit, S.redacted(body, F.col("__secret_all"), mark)).otherwise(F.col(text))}
     out = out.withColumns(new)
     if length and length in df.columns:
         out = out.withColumn(length, F.when(hit, F.length(text).cast(dict(df.dtypes)[length])).otherwise(F.col(length)))

@@ -172,6 +172,26 @@ def test_quality_edges(spark):
     assert quality.filtered(empty(spark), some).columns == empty(spark).columns
 
 
+def clashing(df):
+    """Further columns that bear the names of results and of inner columns."""
+    names = ("size", "shard", "slot", "spans", "n_tokens", "ids", "log_weight", "draw", "kept", "_text", "_base", "_runs", "_key", "y", "n_hit", "start", "section", "component_id")
+    return df.withColumns({n: F.lit("x") for n in names})
+
+
+def test_clashing_columns(spark, docs, sf):
+    wide, labels, bench = clashing(docs), common.table(spark, sf, "labels"), common.table(spark, sf, "benchmark")
+    for narrow, full in (
+        (attribution.attribute(docs), attribution.attribute(wide)), (sharding.shard(docs).drop("slot"), sharding.shard(wide).drop("slot")), (quality.keep(docs, labels), quality.keep(wide, labels)),
+        (decontamination.scan(docs, bench), decontamination.scan(wide, bench)), (secrets.scan(docs), secrets.scan(wide)), (bpe.encode_decode(docs), bpe.encode_decode(wide)), (pii.scan(docs), pii.scan(wide)),
+    ):
+        assert sorted(map(str, narrow.collect())) == sorted(map(str, full.collect()))
+    for change in (lambda d: quality.filtered(d, labels), lambda d: decontamination.remove(d, bench), secrets.redact):
+        out = change(wide)
+        assert out.columns == wide.columns
+        assert sorted(map(str, out.select(*docs.columns).collect())) == sorted(map(str, change(docs).collect()))
+        assert out.where("_base <> 'x' or draw <> 'x'").count() == 0
+
+
 # 4
 
 
