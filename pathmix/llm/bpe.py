@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,8 +18,10 @@ import regex
 import tokenizers
 from pyspark.sql import DataFrame
 
-#: Words and token pairs remembered by one Python worker (beyond it the memory starts afresh), and a word's length.
+#: Words and token pairs of one generation of a worker's memory, and a word's length. A full generation becomes the old
+#: one; what is used again moves on, so frequent words stay and at most two generations are held.
 MEMORY_WORDS, MEMORY_PAIRS, MEMORY_LENGTH = 150_000, 150_000, 48
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Fixed values of the tokenizer format: what a text is split into.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -93,15 +97,19 @@ class WordBpe:
         self.size = np.array([len(s) for s in strings], np.int64)
         self.offset = np.cumsum(self.size) - self.size
         self.fits: dict[tuple[int, int], bool] = {}
+        self.old_fits: dict[tuple[int, int], bool] = {}
         self.memory = _Memory(self)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether `left`, `right` side by side is what the merges make of their joint text."""
         known = self.fits.get((left, right))
         if known is None:
+            known = self.old_fits.get((left, right))
+            if known is None:
+                known = self._compatible(left, right)
             if len(self.fits) >= MEMORY_PAIRS:
-                self.fits.clear()
-            known = self.fits[left, right] = self._compatible(left, right)
+                self.fits, self.old_fits = {}, self.fits
+            self.fits[left, right] = known
         return known
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -209,11 +217,15 @@ class _Memory(dict):
     def __init__(self, coder: WordBpe):
         super().__init__()
         self.coder = coder
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.coder.encode_word(word.encode()), "<u4").tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            ids = array("I", self.coder.encode_word(word.encode())).tobytes() if LITTLE else np.array(self.coder.encode_word(word.encode()), "<u4").tobytes()
         if len(word) <= MEMORY_LENGTH:
             if len(self) >= MEMORY_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
