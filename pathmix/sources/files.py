@@ -77,10 +77,10 @@ def archives(spark: SparkSession, path: str, pattern: str = "*.npz") -> DataFram
     return files.mapInArrow(run, "name string, trip_id bigint, cells array<int>")
 
 
-def prefix(name: str) -> str:
-    """380_US_City.npz to worldmove_380_US."""
+def prefix(name: str, family: str) -> str:
+    """380_US_City.npz of a family of archives to family_380_US."""
     parts = name.rpartition("/")[2].removesuffix(".npz").split("_")
-    return "_".join(["worldmove", *parts[:2]])
+    return "_".join([family, *parts[:2]])
 
 
 def write_trips(table: DataFrame, path: str) -> None:

@@ -57,7 +57,7 @@ def test_archives(spark, tmp_path):
     np.savez(held, traj=np.array([[3, 4, 0], [5, 0, 0]]))
     (tmp_path / "1_XX_Town.npz").write_bytes(held.getvalue())
     got = X.archives(spark, str(tmp_path)).orderBy("trip_id").collect()
-    assert [r["cells"] for r in got] == [[3, 4, 0], [5, 0, 0]] and X.prefix(got[0]["name"]) == "worldmove_1_XX"
+    assert [r["cells"] for r in got] == [[3, 4, 0], [5, 0, 0]] and X.prefix(got[0]["name"], "cells") == "cells_1_XX"
 
 
 def test_count_tables_and_results(spark, tmp_path, sf):
