@@ -197,8 +197,9 @@ def choose(df: DataFrame, labels: DataFrame, k: int | None = None, sample: int =
 
     The target model is fitted on the labelled rows of good quality and not toxic among `sample` labelled rows with
     the smallest hash (the bound of that sample); the raw model counts all rows. Without k, as many rows are kept
-    as have a log weight above the border that best parts the sample's good from its bad rows. Equal draws (repeated
-    rows) at the last place are all kept. A document labelled more than once counts with its worst label. Without
+    as have a log weight above the border that best parts the sample's rows of quality 1 from those of quality 0. The
+    border does not look at toxic: toxic rows of good quality mostly stay, this is no filter for them. Equal draws
+    (repeated rows) at the last place are all kept. A document labelled more than once counts with its worst label. Without
     labels of both kinds all rows are kept. The key's type must be the labels' own.
     """
     order = F.xxhash64(F.col(key), F.lit(7))
