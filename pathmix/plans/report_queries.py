@@ -141,7 +141,7 @@ def validate_trips(spark, sf):
 def converted_trips(spark, sf):
     """Raw cells, snapped, routed, stitched and freed of loops."""
     road = T.road(spark, sf)
-    raw = T.supplier_paths(spark, sf).where("trip_id % 40 = 0").select("trip_id", F.concat("path", F.array(F.lit(0), F.lit(0))).alias("cells"))
+    raw = T.supplier_paths(spark, sf).select("trip_id", F.concat("path", F.array(F.lit(0), F.lit(0))).alias("cells"))
     mapping = T.coordinates(spark, sf).select(F.col("node").alias("cell"), "node")
     return R.converted(raw, mapping, road).select("trip_id", P.text(F.col("path")).alias("path"))
 
@@ -152,7 +152,7 @@ def transition_routing(spark, sf):
     from ..operators import graph
 
     road = T.road(spark, sf)
-    one = W.ngrams(T.supplier_paths(spark, sf).where("trip_id % 40 = 0"), 1).select(F.get("ctx", F.lit(0)).alias("source"), F.col("next").alias("target"), F.col("cnt").alias("n")).where("source <> target")
+    one = W.ngrams(T.supplier_paths(spark, sf), 1).select(F.get("ctx", F.lit(0)).alias("source"), F.col("next").alias("target"), F.col("cnt").alias("n")).where("source <> target")
     return R.transition_counts(one, graph.routes(road, one).where("path is not null"))
 
 
@@ -186,7 +186,7 @@ def mogen_aic(spark, sf):
 @query()
 def iohmm_predict(spark, sf):
     train, windows = data(spark, sf)
-    model = H.HiddenMarkov(4, 4).fit(train, 5)
+    model = H.HiddenMarkov(10, 50).fit(train, 5)
     return dense(H.predict(train, model, windows))
 
 
