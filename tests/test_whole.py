@@ -1,12 +1,14 @@
 """Queries do their whole job: nothing is left out by id."""
 
 import heapq
+import inspect
 import random
 from collections import Counter
 
 import pytest
 
 from pathmix import catalog
+from pathmix.operators import graph as R
 from pathmix.operators import iohmm as H
 
 
@@ -79,3 +81,14 @@ def test_hidden_markov_of_the_reference(spark, sf, monkeypatch):
 
     monkeypatch.setattr(H, "HiddenMarkov", Noted)
     assert catalog.QUERIES["iohmm_predict"](spark, sf).count() and made == [(10, 50)]
+
+
+def test_unsettled_costs_raise(spark):
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0)], "source int, target int, length double")
+    source = spark.createDataFrame([(0,)], "source int")
+    with pytest.raises(ValueError):
+        R.shortest_costs(edges, source, most=1)
+    assert R.shortest_costs(edges, source, most=3).count() == 4
+    assert inspect.signature(R.shortest_costs).parameters["most"].default is None  # by default rounds go on
+    with pytest.raises(ValueError):  # a cycle of negative length has no least cost
+        R.shortest_costs(edges.unionByName(edges.selectExpr("1 as source", "0 as target", "-5.0d as length").limit(1)), source)
