@@ -143,23 +143,32 @@ def importance(df: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     """The merged style trees: host, path, pages (of the host), look and content, both entropies from 0 to 1.
 
     look: how much the children's sequence varies over the host's pages; content: one less the mean entropy with
-    which the path's texts spread over pages, so a text on all pages counts 0 and a text on one page 1.
+    which the path's texts spread over pages, so a text on all pages counts 0 and a text on one page 1. Pages of a host
+    with the same texts (besides what the tags call noise) count as one, by the copy of smallest hash.
     """
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
+            hosts, copies, wholes, at, rows = [], [], [], [0], []
             for u, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = host(u)
                 found, look = parse(body or "")
-                rows.append((h, "", 0, 0))
-                rows += {(h, b.path, 1, _hash(b.text)) for b in found}
-                rows += [(h, path, 2, _hash(" ".join(children))) for path, children in look.items()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            types = (pa.string(), pa.string(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "path", "kind", "feature"])
-
-    seen = df.select(url, page).mapInArrow(nodes, "host string, path string, kind int, feature bigint").groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
+                own = sorted({(b.path, 1, _hash(b.text)) for b in found})
+                own += [(path, 2, _hash(" ".join(children))) for path, children in look.items()]
+                hosts.append(host(u))
+                copies.append(_hash("\n".join(b.text for b in found if not b.noise)))
+                wholes.append(_hash(repr(own)))
+                rows += own
+                at.append(len(rows))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            types = (pa.string(), pa.int32(), pa.int64())
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(c, t)) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(copies, pa.int64()), pa.array(wholes, pa.int64()), *lists], names=["host", "copy", "whole", "path", "kind", "feature"])
+
+    found = df.select(url, page).mapInArrow(nodes, "host string, copy bigint, whole bigint, path array<string>, kind array<int>, feature array<bigint>")
+    each = found.groupBy("host", "copy").agg(F.min_by(F.struct("path", "kind", "feature"), "whole").alias("x"))
+    own = F.array(F.struct(F.lit("").alias("path"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("feature")))
+    rows = each.select("host", F.explode(F.concat(own, F.arrays_zip("x.path", "x.kind", "x.feature"))).alias("y")).select("host", "y.path", "y.kind", "y.feature")
+    seen = rows.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
     sums = seen.groupBy("host", "path").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("own"),
         F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("texts"),
@@ -229,8 +238,9 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "
     Pages of one host are merged into a style tree by counting over all pages (no group is gathered: counts are
     summed before they are shuffled). A branch of low composite importance is left out, besides what tags, roles and
     class names call menu, header, footer, sidebar, notice, advert, form or comment. In a page with an article only
-    that counts; its unnamed paragraphs always stay, since copied articles look like templates to any entropy. Hosts
-    of fewer than PAGES pages rely on the tags. Character references are decoded, white space inside a block
+    that counts; its unnamed paragraphs always stay. Copies of a page count as one in the tree, so that copied articles
+    don't look like templates; copies that differ in any other text outside of marked noise still count each. Hosts of
+    fewer than PAGES distinct pages rely on the tags. Character references are decoded, white space inside a block
     becomes one space, blocks are joined by a line feed. Null html is empty, a null url is the host ""; repeated rows
     give repeated results; an empty table gives an empty one; other columns are left out. Style trees are broadcast
     up to TREE_ROWS rows; beyond that, blocks of hosts are handled one after the other.

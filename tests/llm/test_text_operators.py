@@ -223,6 +223,15 @@ def test_copied_articles_stay(spark):
     assert {r["text"] for r in htmltext.extract(rows).collect()} == {"A\nCopied text."}
 
 
+def test_mostly_copied_pages_without_article_stay(spark):
+    """Copies of a page count once: neither they nor unique pages on their path look like templates."""
+    page = "<html><body><nav>Menu {0}</nav><div><div class='x'>Same words</div><div class='{1}'><p>{2}</p></div></div></body></html>"
+    body = [("y", "A text that was copied")] * 60 + [("y", f"Own text {i}") for i in range(12)] + [("z", "Copied on a path of its own")] * 30
+    rows = spark.createDataFrame([(i, "http://h.example/", page.format(i, *b)) for i, b in enumerate(body)], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(rows).collect()}
+    assert got == {i: b[1] for i, b in enumerate(body)}
+
+
 def test_blocks_of_hosts(spark, sf, monkeypatch):
     pages = common.table(spark, sf, "pages")
     whole = {tuple(r) for r in htmltext.extract(pages).collect()}
