@@ -104,9 +104,9 @@ def kgram_decode(spark, sf):
 @query(f"""WITH {LI}, known AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT DISTINCT node FROM li WHERE trip_id % 50 = 0))
 SELECT trip_id, string_agg(CAST(idx AS VARCHAR), '-' ORDER BY pos) AS path FROM li JOIN known USING (node) GROUP BY trip_id""")
 def categorical_encode(spark, sf):
-    """Dense ids from some trips; nodes that those never visit are dropped."""
+    """Dense ids from the training trips; nodes that those never visit are dropped."""
     paths = T.supplier_paths(spark, sf)
-    return W.encode(paths, W.vocabulary(paths.where("pmod(trip_id, 50) = 0"))).select("trip_id", txt().alias("path"))
+    return W.encode(paths, W.vocabulary(paths.where(TRAIN))).select("trip_id", txt().alias("path"))
 
 
 @query(f"WITH {LI} SELECT trip_id, string_agg(CAST(node % 7 AS VARCHAR), '-' ORDER BY pos) AS path FROM li GROUP BY trip_id")
@@ -123,7 +123,7 @@ def context_encode(spark, sf):
     """The last three nodes of each path as dense ids; null where none is known."""
     paths = T.supplier_paths(spark, sf)
     tails = paths.select("trip_id", P.tail(F.col("path"), 3).alias("path"))
-    encoded = W.encode(tails, W.vocabulary(paths.where("pmod(trip_id, 50) = 0")))
+    encoded = W.encode(tails, W.vocabulary(paths.where(TRAIN)))
     return tails.select("trip_id").join(encoded, "trip_id", "left").select("trip_id", txt().alias("ctx"))
 
 

@@ -92,3 +92,12 @@ def test_unsettled_costs_raise(spark):
     assert inspect.signature(R.shortest_costs).parameters["most"].default is None  # by default rounds go on
     with pytest.raises(ValueError):  # a cycle of negative length has no least cost
         R.shortest_costs(edges.unionByName(edges.selectExpr("1 as source", "0 as target", "-5.0d as length").limit(1)), source)
+
+
+def test_vocabulary_of_all_training_trips(spark, small):
+    sf, trips, _ = small
+    ids = {n: str(i) for i, n in enumerate(sorted({n for t, path in trips.items() if t % 5 for n in path}))}
+    got = {r["trip_id"]: r["path"] for r in catalog.QUERIES["categorical_encode"](spark, sf).collect()}
+    assert got == {t: "-".join(ids[n] for n in path) for t, path in trips.items()}
+    tails = {r["trip_id"]: r["ctx"] for r in catalog.QUERIES["context_encode"](spark, sf).collect()}
+    assert tails == {t: "-".join(ids[n] for n in path[-3:]) for t, path in trips.items()}
