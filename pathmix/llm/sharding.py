@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Parts into which each arc is dealt so that one repeated key never fills one task.
-PARTS = 16
+from .common import settle
+
+#: Rows that one task ranks, about: an arc with more is dealt to several parts, so one repeated key never fills a task.
+PART_ROWS = 250_000
 
 
 def _ring(shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -59,10 +61,12 @@ def shard(
     sizes differ by at most one (law `rows`); a larger factor gives ceil(factor * rows / shards) and moves fewer
     keys. Keys that find their shard full go on clockwise. Slots run from 0 in each shard without gaps.
 
-    Rows per (arc, part) are counted on the executors; the driver turns those counts (ring size, not data size)
-    into runs of ranks, and each row finds its run by its rank. A null key hashes like any other value; null text
-    has size 8 and the checksum of the empty text; equal keys are told apart by the part they were dealt to, and
-    equal rows are interchangeable; an empty table gives an empty result. Other columns are ignored.
+    Keys, sizes and checksums (not the texts) are written once to the shared folder with a number per row, and both
+    the counts and the ranks read them there: whatever the input is and whichever task runs again, they agree. Rows
+    per (arc, part) are counted on the executors; the driver turns those counts (ring size plus one per PART_ROWS
+    rows) into runs of ranks, and each row finds its run by its rank. A row without a run is an error, not a loss. A
+    null key hashes like any other value; null text has size 8 and the checksum of the empty text; equal rows are told
+    apart by their number and are interchangeable; an empty table gives an empty result. Other columns are ignored.
     """
     points = _ring(shards, vnodes)
     at, owners = [p for p, _ in points], [s for _, s in points]
@@ -78,13 +82,21 @@ def shard(
     table = [[p for p in at if p >> 51 == g] for g in range(grid)]
     before = [bisect.bisect_left(at, g << 51) for g in range(grid)]
     cell = F.shiftrightunsigned(F.col("_h"), 51).cast("int")
-    starts = F.array(*[F.lit(x) for x in before])
+    starts = F.from_json(F.lit(str(before)), "array<int>")
     lists = F.from_json(F.lit(str(table)), "array<array<bigint>>")
     arc = F.get(starts, cell) + F.size(F.filter(F.get(lists, cell), lambda p: p < F.col("_h")))
-    rows = rows.select(
-        "*", (arc % len(at)).cast("int").alias("_arc"), F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int").alias("_part")
-    )
-    counts = {(r["_arc"], r["_part"]): r["n"] for r in rows.groupBy("_arc", "_part").agg(F.count("*").alias("n")).collect()}
+    rows = settle(rows.select("*", (arc % len(at)).cast("int").alias("_arc"), F.monotonically_increasing_id().alias("_number")))
+    spark = df.sparkSession
+    whole = {r["_arc"]: r["n"] for r in rows.groupBy("_arc").agg(F.count("*").alias("n")).collect()}
+    dealt = {a: -(-n // PART_ROWS) for a, n in whole.items() if n > PART_ROWS}
+    if dealt:
+        many = F.broadcast(spark.createDataFrame(sorted(dealt.items()), "_arc int, _parts int"))
+        part = F.pmod(F.xxhash64("_number"), F.coalesce("_parts", F.lit(1))).cast("int")
+        rows = rows.join(many, "_arc", "left").withColumn("_part", part).drop("_parts")
+        counts = {(r["_arc"], r["_part"]): r["n"] for r in rows.groupBy("_arc", "_part").agg(F.count("*").alias("n")).collect()}
+    else:
+        rows = rows.withColumn("_part", F.lit(0))
+        counts = {(a, 0): n for a, n in whole.items()}
     per_arc: dict[int, int] = {}
     offset: dict[tuple[int, int], int] = {}
     for a, p in sorted(counts):
@@ -100,12 +112,12 @@ def shard(
         (a, p, [(max(lo, base), min(hi, base + counts[a, p]), s, slot + max(lo, base) - lo) for lo, hi, s, slot in runs[a] if lo < base + counts[a, p] and hi > base], base)
         for (a, p), base in offset.items()
     ]
-    spark = df.sparkSession
     schema = "_arc int, _part int, _runs array<struct<lo: bigint, hi: bigint, shard: int, slot: bigint>>, _base bigint"
-    order = Window.partitionBy("_arc", "_part").orderBy("_h", "_key", "text_crc32", "size")
-    ranked = rows.withColumn("_rank", F.row_number().over(order) - 1).join(F.broadcast(spark.createDataFrame(plan, schema)), ["_arc", "_part"])
+    order = Window.partitionBy("_arc", "_part").orderBy("_h", "_key", "text_crc32", "size", "_number")
+    ranked = rows.withColumn("_rank", F.row_number().over(order) - 1).join(F.broadcast(spark.createDataFrame(plan, schema)), ["_arc", "_part"], "left")
     rank = F.col("_rank") + F.col("_base")
     run = F.get(F.filter("_runs", lambda r: (r["lo"] <= rank) & (r["hi"] > rank)), F.lit(0))
+    run = F.coalesce(run, F.raise_error(F.lit("a row has no place on the ring")).cast("struct<lo: bigint, hi: bigint, shard: int, slot: bigint>"))
     return ranked.withColumn("_run", run).select(
         F.col("_key").alias(key), "size", "text_crc32", F.lit("rows" if load_factor <= 1 else "bounded").alias("law"),
         F.col("_run.shard").alias("shard"), (F.col("_run.slot") + rank - F.col("_run.lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

@@ -115,6 +115,17 @@ def test_shards_of_repeated_and_odd_rows(spark):
     assert sharding.shard(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("part_rows", [7, 250_000])
+def test_shards_of_shuffled_input(spark, docs, texts, monkeypatch, part_rows):
+    """Inputs whose rows come in another order each time they are read lose none and leave no gap."""
+    monkeypatch.setattr(sharding, "PART_ROWS", part_rows)
+    far = docs.join(docs.select("doc_id").distinct(), "doc_id").orderBy(F.rand())
+    for rows in (docs.dropDuplicates(["doc_id"]), docs.repartition(7), far)[: 3 if part_rows > 7 else 1]:
+        got = sharding.shard(rows).collect()
+        assert sorted(r["doc_id"] for r in got) == sorted(texts) and all(r["shard"] is not None for r in got)
+        check_shards(got, texts, 24)
+
+
 def test_more_capacity_moves_fewer(docs):
     """With looser bounds one more shard changes less; every shard stays within its bound."""
     moved = []
