@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -26,13 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns by place, c0, c1, ...: their own names may hold dots, clash or repeat."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local master gets one of its own."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if place is None:
         place = spark.sparkContext.getCheckpointDir()
     if place is None:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pathmix-"))
         place = spark.sparkContext.getCheckpointDir()
     return place
 

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Words, flat, mix, pieces
+from .common import Words, flat, mix, numbered, pieces
 
 #: Bytes of item text in one block of the test set; each block is broadcast by itself, so its size is bounded.
 BLOCK_BYTES = 4 << 20
@@ -209,7 +209,11 @@ def scan(df: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc_i
 
 
 def remove(df: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text", item_key: str = "item_id") -> DataFrame:
-    """The rows of `df`, all columns, without the documents that hold any window of the test items."""
+    """The rows of `df`, all columns, without the documents that hold any window of the test items.
+
+    Null and empty texts stay, repeated rows stay or go together, an empty test set removes nothing, an empty table
+    stays empty; columns may bear any names, as they are addressed by place.
+    """
     tests = blocks(benchmark, width, item_key, text)
     at = df.columns.index(text)
 
@@ -218,4 +222,5 @@ def remove(df: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "te
             clean = [n == 0 for _, _, n_hit, _, _ in _scan(tests, batch.column(at)) for n in n_hit]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    rows = numbered(df)
+    return rows.mapInArrow(run, rows.schema).toDF(*df.columns)

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import LOWER, _powers, drop_settled, flat, mix, pieces, settle
+from .common import LOWER, _powers, drop_settled, flat, mix, numbered, pieces, settle
 
 #: Buckets of the hashed models, added count, rows of the histogram that finds a rank, and their bound when refined.
 BUCKETS, ADDED, BINS = 1 << 14, 0.5, 4096
@@ -138,20 +139,25 @@ def weigh(df: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "te
     """
     columns = keep or [key]
     model = df.sparkSession.sparkContext.broadcast(ratio)
-    rows = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)], F.col(text).alias("text"), _gumbel(F.col(key)).alias("noise"))
+    kinds = dict(zip(df.columns, df.schema.fields, strict=True))
+    place = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    rows = numbered(df).select(*[F.col(place[c]).alias(f"k{k}") for k, c in enumerate(columns)], F.col(place[text]).alias("text"), _gumbel(F.col(place[key])).alias("noise"))
     n = len(columns)
+    inner = [f"k{k}" for k in range(n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weight = _weights(batch.column(n), model.value)
             draw = weight / TEMPERATURE + np.asarray(batch.column(n + 1))
             if least is None:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(weight), pa.array(draw)], names=[*columns, "log_weight", "draw"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(weight), pa.array(draw)], names=[*inner, "log_weight", "draw"])
             else:  # by place: the columns may bear any names
-                yield pa.RecordBatch.from_arrays(batch.columns[:n], names=columns).filter(pa.array(draw >= least))
+                yield pa.RecordBatch.from_arrays(batch.columns[:n], names=inner).filter(pa.array(draw >= least))
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*columns).dtypes)
-    return rows.mapInArrow(run, schema + (", log_weight double, draw double" if least is None else ""))
+    schema = StructType([StructField(k, kinds[c].dataType) for k, c in zip(inner, columns, strict=True)])
+    if least is None:
+        schema = schema.add("log_weight", "double").add("draw", "double")
+    return rows.mapInArrow(run, schema).toDF(*columns, *(["log_weight", "draw"] if least is None else []))
 
 
 def kth_largest(values: DataFrame, column: str, k: int) -> float:

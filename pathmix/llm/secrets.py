@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import spans as S
-from .common import drop_settled, settle
+from .common import numbered, settle
 
 NAMES = ["assign", "access", "hex", "random"]
 #: Fixed patterns. The quantifiers of access and hex carry the least length: a shorter run has no match inside.
@@ -42,33 +42,54 @@ def _battery(run: Column) -> Column:
     """
     body = F.regexp_replace(run, "=+$", "")
     code = F.coalesce(*[F.when(body.rlike(f"^[{a.replace('-', chr(92) + '-')}]+$"), F.lit(k)) for k, (_, a, _) in enumerate(ENCODINGS)], F.lit(-1))
-    letters = F.element_at(F.array(*[F.lit(a) for _, a, _ in ENCODINGS]), code + 1)
-    gain = F.element_at(F.array(*[F.lit(g) for _, _, g in ENCODINGS]), code + 1)
-    chars = F.split(body, "")
-    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc + F.pow(F.length(body) - F.length(F.replace(body, c, F.lit(""))), F.lit(2.0)))
-    facts = F.struct(
-        code.alias("code"), F.length(body).cast("double").alias("n"), F.length(letters).cast("double").alias("k"), gain.alias("gain"), squares.alias("squares"),
-        F.transform(chars, lambda c: F.instr(letters, c).cast("double") - 1).alias("x"),
+    told = F.struct(body.alias("body"), code.alias("code"))
+
+    def facts(t: Column) -> Column:
+        letters = F.element_at(F.array(*[F.lit(a) for _, a, _ in ENCODINGS]), t["code"] + 1)
+        gain = F.element_at(F.array(*[F.lit(g) for _, _, g in ENCODINGS]), t["code"] + 1)
+        return F.struct(t["code"].alias("code"), letters.alias("letters"), F.length(letters).cast("double").alias("k"), gain.alias("gain"), F.split(t["body"], "").alias("chars"), t["body"].alias("body"))
+
+    def places(f: Column) -> Column:
+        size = F.size(f["chars"]).cast("double")
+        squares = F.aggregate(F.array_distinct(f["chars"]), F.lit(0.0), lambda acc, c: acc + F.pow(F.length(f["body"]) - F.length(F.replace(f["body"], c, F.lit(""))), F.lit(2.0)))
+        x = F.transform(f["chars"], lambda c: F.instr(f["letters"], c).cast("double") - 1)
+        return F.struct(f["code"].alias("code"), f["k"].alias("k"), f["gain"].alias("gain"), size.alias("n"), squares.alias("squares"), x.alias("x"))
+
+    judged = S.bound(told, lambda t: F.when(t["code"] >= 0, S.bound(facts(t), lambda f: S.bound(places(f), lambda v: S.bound(_sums(v), _judged)))))
+    return judged
+
+
+def _sums(f: Column) -> Column:
+    """What the tests need of a run, each sum taken in one pass: of x, of x squared, of x times the next x; how many lie
+    in the upper half of the alphabet, and how often neighbours lie in different halves."""
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+
+    x, k = f["x"], f["k"]
+    tail, head = F.slice(x, F.lit(2), F.size(x)), F.slice(x, F.lit(1), F.size(x) - 1)
+    return F.struct(
+        f["code"].alias("code"), f["n"].alias("n"), k.alias("k"), f["gain"].alias("gain"), f["squares"].alias("squares"),
+        total(x).alias("sum"), F.aggregate(x, F.lit(0.0), lambda a, b: a + b * b).alias("sum2"), total(F.zip_with(head, tail, lambda a, b: a * b)).alias("lagged"),
+        F.get(x, F.lit(0)).alias("first"), F.element_at(x, -1).alias("last"),
+        total(F.transform(x, lambda v: (v >= k / 2).cast("double"))).alias("up"),
+        total(F.zip_with(head, tail, lambda a, b: ((a >= k / 2) != (b >= k / 2)).cast("double"))).alias("turns"),
     )
-    return F.when(code >= 0, F.transform(F.array(facts), _judged)[0])
 
 
 def _judged(f: Column) -> Column:
-    n, k = f["n"], f["k"]
+    n, k, up = f["n"], f["k"], f["up"]
     chi = k / n * f["squares"] - n
     shift = n * f["gain"]
     p_plain = S.normal_cdf((chi - (k - 1) - shift) / F.sqrt(2 * (k - 1) + 4 * shift))
-    high = F.transform(f["x"], lambda v: (v >= k / 2).cast("int"))
-    up = F.aggregate(high, F.lit(0.0), lambda a, b: a + b)
     both = up * (n - up)
-    runs = F.aggregate(F.zip_with(F.slice(high, 1, (n - 1).cast("int")), F.slice(high, 2, n.cast("int")), lambda a, b: (a != b).cast("double")), F.lit(1.0), lambda a, b: a + b)
+    runs = f["turns"] + 1
     mean_runs = 2 * both / n + 1
     spread = F.sqrt(F.greatest((mean_runs - 1) * (mean_runs - 2) / (n - 1), F.lit(1e-9)))
-    mean = F.aggregate(f["x"], F.lit(0.0), lambda a, b: a + b) / n
-    off = F.transform(f["x"], lambda v: v - mean)
-    var = F.aggregate(off, F.lit(0.0), lambda a, b: a + b * b)
-    lag = F.aggregate(F.zip_with(F.slice(off, 1, (n - 1).cast("int")), F.slice(off, 2, n.cast("int")), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    serial = F.when(var > 0, (lag / F.greatest(var, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
+    mean = f["sum"] / n
+    var = f["sum2"] - n * mean * mean
+    lag = f["lagged"] - mean * (2 * f["sum"] - f["first"] - f["last"]) + (n - 1) * mean * mean
+    serial = F.when(var > 1e-6, (lag / F.greatest(var, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
     veto = (F.abs((runs - mean_runs) / spread) > VETO) | (F.abs(serial) > VETO) | (both == 0)
     p = F.when(veto, F.lit(1.0)).otherwise(F.greatest(p_plain, F.lit(1e-30)))
     return F.struct(
@@ -77,77 +98,79 @@ def _judged(f: Column) -> Column:
     )
 
 
-def _candidates(df: DataFrame, key: str, text: str, keep: list[str]) -> DataFrame:
-    body = F.coalesce(F.col(text), F.lit(""))
-    assign = F.filter(S.find(body, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= LEAST_ASSIGN)
-    base = F.concat(assign, S.find(body, ACCESS, 1, F.contains(body, F.lit("AKIA"))), S.find(body, HEX, 2))
-    df = df.withColumn("__secret_base", base).withColumn("__secret_runs", S.find(body, RUN, 3))
-    tested = F.transform("__secret_runs", lambda s: F.struct(s["start"], s["end"], s["kind"], s["match"], _battery(s["match"]).alias("test")))
-    return df.select(*keep, "__secret_base", tested.alias("__secret_runs"))
+def _found(body: Column) -> Column:
+    """base: spans of the fixed patterns; runs: start, end, class and grade of what the battery tests."""
+
+    def tested(raw: Column) -> Column:
+        assign = F.filter(S.find(body, ASSIGN, 0, F.contains(body, F.lit("=")) | F.contains(body, F.lit(":"))), lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= LEAST_ASSIGN)
+        some = F.size(raw) > 0  # what HEX matches lies within such a run
+        base = F.concat(assign, S.find(body, ACCESS, 1, F.contains(body, F.lit("AKIA"))), S.find(body, HEX, 2, some))
+        runs = F.transform(raw, lambda s: F.struct(s["start"], s["end"], _battery(s["match"]).alias("test")))
+        good = F.transform(F.filter(runs, lambda r: r["test"].isNotNull()), lambda r: F.struct(r["start"], r["end"], r["test"]["class"].alias("class"), r["test"]["grade"].alias("grade")))
+        return F.struct(F.transform(base, lambda s: F.struct(s["start"], s["end"], s["kind"])).alias("base"), good.alias("runs"))
+
+    return S.bound(S.find(body, RUN, 3), tested)
 
 
-def _floors(found: DataFrame, rate: float) -> dict[int, int]:
-    """Least grade of each class (encoding and length) at which the Benjamini-Hochberg bound holds.
+def _floors(runs: DataFrame, rate: float) -> dict[int, int]:
+    """Least grade of each class (encoding and length) at which the Benjamini-Hochberg bound holds over rows (class, grade).
 
     Grades are p-values on a fine logarithmic grid, so the counts per class and grade have a fixed size.
     """
-    grades = found.select(F.explode("__secret_runs").alias("r")).where("r.test is not null").groupBy("r.test.class", "r.test.grade").agg(F.count("*").alias("n"))
+    grades = runs.groupBy("class", "grade").agg(F.count("*").alias("n"))
     down = Window.partitionBy("class").orderBy(F.desc("grade")).rowsBetween(Window.unboundedPreceding, 0)
     ranked = grades.withColumn("rank", F.sum("n").over(down)).withColumn("m", F.sum("n").over(Window.partitionBy("class")))
     passed = ranked.where(F.pow(F.lit(10.0), -F.col("grade") / 50) <= rate * F.col("rank") / F.col("m"))
     return {r["class"]: r["floor"] for r in passed.groupBy("class").agg(F.min("grade").alias("floor")).collect()}
 
 
-def _judge(found: DataFrame, rate: float) -> DataFrame:
-    """Adds _all: the fixed spans, and the random runs that touch none of them."""
-    floors = _floors(found, rate)
-    if floors:
-        floor = F.create_map(*[F.lit(x) for pair in floors.items() for x in pair])
-        chosen = F.filter("__secret_runs", lambda s: (s["test"]["grade"] >= floor[s["test"]["class"]]) & ~F.exists("__secret_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        extra = F.transform(chosen, lambda s: F.struct(s["start"], s["end"], s["kind"], s["match"]))
-    else:
-        extra = F.array().cast(S.SPAN)
-    return found.withColumn("__secret_all", F.concat("__secret_base", extra))
+def _passed(found: Column, floors: dict[int, int]) -> Column:
+    """The runs that pass the battery."""
+    if not floors:
+        return F.filter(found["runs"], lambda s: F.lit(False))
+    floor = F.create_map(*[F.lit(x) for pair in sorted(floors.items()) for x in pair])
+    return F.filter(found["runs"], lambda s: s["grade"] >= floor[s["class"]])
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rate: float = 0.01) -> DataFrame:
-    """Secrets of each whole text: key, n_assign, n_access, n_hex, base_sha256, spans.
-
-    Spans of the fixed patterns always stay. A run of encoding letters that touches none of them is added as
-    `random` when the battery's p passes the false-discovery bound `rate` within its class of encoding and length;
-    counts per class cover all documents. Null and empty texts have none; equal spans of different kinds are both
-    kept; repeated rows give repeated results; an empty table gives none; other columns are left out. Expressions
-    of the JVM only; what is found (not the texts) is written once to the shared folder, since the bound needs it
-    all before any span is chosen.
+    """Secrets of each whole text: key, n_assign, n_access, n_hex, base_sha256, spans, n_random.
+
+    Spans of the fixed patterns always stay. A run of encoding letters is added as `random` when the battery's p
+    passes the false-discovery bound `rate` within its class of encoding and length; counts per class cover all
+    documents. It may lie inside a fixed span (the value of an assignment) but isn't repeated where it is one;
+    `n_random` counts all runs that pass, those of fixed spans too. Null and empty texts have none; equal spans of different kinds are both kept; repeated rows give repeated results; an
+    empty table gives none; other columns are left out. Time grows in proportion to a text's length and, by n log n,
+    to its matches. Expressions of the JVM only; what is found (not the texts) is written once to the shared folder,
+    since the bound needs it all before any span is chosen.
     """
-    found = settle(_candidates(df.select(key, text), key, text, [key]))
-    judged = _judge(found, rate)
+    own = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    found = settle(own.select("k", _found(F.col("t")).alias("f")))
+    floors = _floors(found.select(F.explode("f.runs").alias("r")).select("r.class", "r.grade"), rate)
+    judged = found.select("k", "f.base", _passed(F.col("f"), floors).alias("passed"))
     return judged.select(
-        key, S.count(F.col("__secret_base"), 0).alias("n_assign"), S.count(F.col("__secret_base"), 1).alias("n_access"), S.count(F.col("__secret_base"), 2).alias("n_hex"),
-        F.sha2(S.written(F.col("__secret_base"), NAMES), 256).alias("base_sha256"), S.written(F.col("__secret_all"), NAMES).alias("spans"),
+        F.col("k").alias(key), *[S.count(F.col("base"), n).alias(f"n_{NAMES[n]}") for n in range(3)],
+        F.sha2(S.written(F.col("base"), NAMES), 256).alias("base_sha256"), S.written(F.concat("base", S.others(F.col("passed"), F.col("base"), 3)), NAMES).alias("spans"),
+        F.size("passed").cast("bigint").alias("n_random"),
     )
 
 
 def redact(df: DataFrame, text: str = "text", rate: float = 0.01, mark: str = "[SECRET]", length: str | None = "n_chars") -> DataFrame:
-    """All rows and columns of `df`, with every secret of `scan` in the text replaced by `mark` and `length` set anew.
+    """All rows and columns of `df`, with every span of `scan` in the text replaced by `mark` and `length` set anew.
 
-    The bound's counts are taken in a pass of their own, so no text is written or shuffled.
+    The bound's counts are taken in a pass of their own, so no text is written or shuffled. Null texts stay null and
+    texts without spans stay as they are, with their `length`; overlapping spans get one mark; repeated rows are
+    treated alike; an empty table stays empty; columns may bear any names, as they are addressed by place.
     """
-    found = _candidates(df.select(text), text, text, [])
-    counted = settle(found.select(F.transform("__secret_runs", lambda s: F.struct(s["test"].alias("test"))).alias("__secret_runs")).where(F.size("__secret_runs") > 0))
-    floors = _floors(counted, rate)
-    drop_settled(counted)
-    body = F.coalesce(F.col(text), F.lit(""))
-    judged = _candidates(df, text, text, df.columns)
-    if floors:
-        floor = F.create_map(*[F.lit(x) for pair in floors.items() for x in pair])
-        extra = F.transform(F.filter("__secret_runs", lambda s: s["test"]["grade"] >= floor[s["test"]["class"]]), lambda s: F.struct(s["start"], s["end"], s["kind"], s["match"]))
-    else:
-        extra = F.array().cast(S.SPAN)
-    out = judged.withColumn("__secret_all", F.concat("__secret_base", extra))
-    hit = F.size("__secret_all") > 0
-    new = {text: F.when(hit, S.redacted(body, F.col("__secret_all"), mark)).otherwise(F.col(text))}
-    out = out.withColumns(new)
-    if length and length in df.columns:
-        out = out.withColumn(length, F.when(hit, F.length(text).cast(dict(df.dtypes)[length])).otherwise(F.col(length)))
-    return out.select(*df.columns)
+    names = df.columns
+    rows = numbered(df)
+    at = f"c{names.index(text)}"
+    found = _found(F.coalesce(F.col(at), F.lit("")))
+    floors = _floors(rows.select(F.explode(found["runs"]).alias("r")).select("r.class", "r.grade"), rate)
+    rows = rows.withColumn("found", found)
+    rows = rows.withColumn("all", F.concat("found.base", S.others(_passed(F.col("found"), floors), F.col("found.base"), 3)))
+    hit = F.size("all") > 0
+    rows = rows.withColumn(at, F.when(hit, S.redacted(F.col(at), F.col("all"), mark)).otherwise(F.col(at)))
+    if length and length in names:
+        n = f"c{names.index(length)}"
+        rows = rows.withColumn(n, F.when(hit, F.length(at).cast(df.schema.fields[names.index(length)].dataType)).otherwise(F.col(n)))
+    return rows.drop("found", "all").toDF(*names)
