@@ -189,6 +189,14 @@ def clashing(df):
     return df.withColumns({n: F.lit("x") for n in names})
 
 
+def test_dotted_columns(spark, docs, sf):
+    labels, bench = common.table(spark, sf, "labels"), common.table(spark, sf, "benchmark")
+    wide = docs.withColumns({"a.b": F.lit("x"), "text.x": F.lit("y"), "__secret_base": F.lit("z"), "c1": F.lit("c")})
+    for change in (lambda d: quality.filtered(d, labels), lambda d: decontamination.remove(d, bench), secrets.redact):
+        out = change(wide)
+        assert out.columns == wide.columns and out.select("`a.b`", "`text.x`", "__secret_base", "c1").distinct().collect() == [("x", "y", "z", "c")]
+
+
 def test_clashing_columns(spark, docs, sf):
     wide, labels, bench = clashing(docs), common.table(spark, sf, "labels"), common.table(spark, sf, "benchmark")
     for narrow, full in (
@@ -350,6 +358,47 @@ def test_battery_finds_random_strings_and_leaves_words(spark):
     assert not any("random" in got[i] for i in range(40, 80))
 
 
+def test_long_runs_and_many_matches(spark):
+    """Texts at which a pattern could loop, recurse or compare all with all: base spans as in plain Python."""
+    rng = np.random.default_rng(8)
+    mixed = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 300_000))
+    long = ["1" * 10**6, mixed, "token=abcdefgh1 " * 20_000, "secret" + " " * 10**6, "." * 10**6, "ab" * 10**5 + "=="]
+    for r in secrets.scan(frame(spark, long)).collect():
+        want = secret_spans(long[r["doc_id"]])
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == j for _, k, _ in want) for j in range(3)] and r["base_sha256"] == digest(want, secrets.NAMES)
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, long)).collect()}
+    assert got[2] == "[SECRET] " * 20_000 and got[3] == long[3] and got[1] == "[SECRET]"
+    mixed = "+1 (555) 123-4567 ab@cc.dd 1.2.3.4 " * 4000
+    long = {"1" * 10**6: [0, 0, 0, 0], "a@b" + ".cc" * 10**5: [1, 0, 0, 0], "." * 10**6: [0] * 4, ("+" + " " * 9) * 10**5: [0] * 4, "+1" + " " * 10**6: [0] * 4, "1 " * 10**5: [0] * 4, mixed: [4000, 4000, 0, 4000]}
+    for r in pii.scan(frame(spark, list(long))).collect():  # plain Python's own search would take quadratic time on most
+        assert [r[f"n_{n}"] for n in pii.NAMES[:4]] == list(long.values())[r["doc_id"]]
+        if r["n_phone"]:
+            assert r["base_sha256"] == digest(personal_spans(mixed), pii.NAMES)
+
+
+def spans_of(text):
+    return {(k, int(a), int(b)) for k, a, b in (x.split(":") for x in text.split(",") if x)}
+
+
+def test_battery_adds_what_no_pattern_knows(spark, monkeypatch):
+    """Random keys of several encodings after no telling word: found, and none of the ordinary long words; without the
+    battery nothing is added. Scan and redaction agree on every span."""
+    rng = np.random.default_rng(11)
+    planted, rows = {}, []
+    for i, (_, letters, _) in enumerate(secrets.ENCODINGS[1:] * 20):
+        key = "".join(rng.choice(list(letters), 64))
+        planted[len(rows)] = key
+        rows.append(f"see {key} for the ordinary-words-of-row-number and Internationalisierungsbeauftragte {'x' * (20 + i % 9)}")
+    scanned_rows = secrets.scan(frame(spark, rows)).collect()
+    added = {(r["doc_id"], a, b) for r in scanned_rows for k, a, b in spans_of(r["spans"]) if k == "random"}
+    right = {(i, 4, 4 + len(k)) for i, k in planted.items()}
+    assert len(added & right) >= 0.9 * len(right) and len(added & right) >= 0.99 * len(added)
+    hidden = {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, rows)).collect()}
+    assert all(("[SECRET]" in hidden[i]) == bool(r["spans"]) for r in scanned_rows for i in [r["doc_id"]])
+    monkeypatch.setattr(secrets, "_floors", lambda runs, rate: {})
+    assert not any(r["spans"] for r in secrets.scan(frame(spark, rows)).collect())
+
+
 def test_redaction(spark):
     rows = ["my token=abcdefgh1234 ok", "clean 🙂", None, "🙂 " + "0123456789abcdef" * 2 + " end"]
     got = {r["doc_id"]: r for r in secrets.redact(frame(spark, rows)).collect()}
@@ -411,6 +460,42 @@ def test_personal_data(spark, docs, texts):
     assert pii.scan(empty(spark)).count() == 0
 
 
+def test_trees_add_what_no_pattern_knows(spark, monkeypatch):
+    """Hidden addresses and numbers without a plus are learned from plain ones; dates, hosts without a domain and
+    numbers that fail their checks are not taken. Without the trees nothing is added."""
+    rng = np.random.default_rng(4)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def iban():
+        rest = digits(18)
+        return f"DE{98 - int(rest + '131400') % 97:02d}{rest}"
+
+    rows, planted, clean = [], {}, set()
+    for i in range(400):
+        name = f"{rng.choice(list('abcdefgh'))}o.lee{i % 10}"
+        rows.append(f"write to {name}@mail{i % 7}.example.com or call +1 (555) {digits(3)}-{digits(4)} from host 10.{i % 200}.3.{i % 90}, account {iban()} ok")
+        bad = f"on 20{10 + i % 10}-0{1 + i % 9}-1{i % 10} the job {name}@localhost ran, part {digits(16)} and DE00{digits(18)}"
+        rows.append(bad)
+        if i % 4 == 0:
+            text = f"write to {name} [at] mail{i % 7} [dot] example [dot] com"
+            planted[len(rows)] = ("mail_like", 9, len(text))
+            rows.append(text)
+            text = f"or call (555) {digits(3)}-{digits(4)}"
+            planted[len(rows)] = ("number_like", 8, len(text))
+            rows.append(text)
+            clean.add(len(rows))
+            rows.append(f"since 201{i % 10}-0{1 + i % 9}-1{i % 10} it is {name}@localhost")
+    got = {r["doc_id"]: spans_of(r["spans"]) for r in pii.scan(frame(spark, rows)).collect()}
+    names = set(pii.NAMES[4:])
+    assert sum(span in got[i] for i, span in planted.items()) >= 0.95 * len(planted)
+    assert not any(got[i] for i in clean)
+    wrong = {i for i, r in enumerate(rows) if r.startswith("on 20")}
+    added = sum(k in names for i in got for k, _, _ in got[i])
+    assert sum(k in names for i in wrong for k, _, _ in got[i]) <= 0.05 * added
+    monkeypatch.setattr(pii, "fit", lambda rows: [])
+    assert not any(k in names for r in pii.scan(frame(spark, rows)).collect() for k, _, _ in spans_of(r["spans"]))
+
+
 def test_boosting_separates():
     rows = [((x, y), int(x > 2 and y < 2), 10) for x in range(5) for y in range(4)]
     trees = pii.fit(rows)
