@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: Importance below which a branch is noise, pages of a host from which importance counts, weight of the children.
 LEAST, PAGES, GAMMA = 0.4, 8, 0.9
 #: Rows of style trees that are broadcast at once; more are handled in blocks of hosts.
@@ -44,17 +46,18 @@ _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Block:
-    """A run of text between block borders: its element path, its text, and what the tags say about it."""
+    """A run of text between block borders: its element path, its text, whether the tags call it noise, and the path
+    of the article it is in (or None)."""
 
-    __slots__ = ("path", "text", "noise", "article", "marked")
+    __slots__ = ("path", "text", "noise", "article")
 
-    def __init__(self, path: str, text: str, noise: bool, article: bool, marked: bool):
-        self.path, self.text, self.noise, self.article, self.marked = path, text, noise, article, marked
+    def __init__(self, path: str, text: str, noise: bool, article: str | None):
+        self.path, self.text, self.noise, self.article = path, text, noise, article
 
 
 def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
     """Text blocks in page order, and for each element path the names of its children in order."""
-    stack: list[tuple] = [("", "", False, False, False)]  # tag, path, noise, article, marked
+    stack: list[tuple] = [("", "", False, None)]  # tag, path, noise, path of the article
     out: list[Block] = []
     look: dict[str, list[str]] = {}
     held: list[str] = []
@@ -111,7 +114,7 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
             if end is not None:
                 at = page.find(">", at) + 1 or len(page)
             continue
-        _, path, noise, article, marked = stack[-1]
+        _, path, noise, article = stack[-1]
         words, role = [], ""
         for a in _ATTR.finditer(m[3] or m[6] or ""):
             value = a[2] or a[3] or a[4] or ""
@@ -123,9 +126,10 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
         if tag in BLOCK:
             look.setdefault(path, []).append(name)
             path = f"{path}/{name}"
-        inside = article or tag in ("article", "main") or role in ("article", "main")
-        bad = noise or tag in NOISE_TAGS or role in NOISE_ROLES or not NOISE_WORDS.isdisjoint(words) or (tag == "header" and not article)
-        stack.append((tag, path, bad, inside, (marked or bool(words)) if article else bool(words) and tag not in ("article", "main", "body", "html")))
+        if article is None and (tag in ("article", "main") or role in ("article", "main")):
+            article = path
+        bad = noise or tag in NOISE_TAGS or role in NOISE_ROLES or not NOISE_WORDS.isdisjoint(words) or (tag == "header" and article is None)
+        stack.append((tag, path, bad, article))
     flush()
     return out, look
 
@@ -176,8 +180,9 @@ def importance(df: DataFrame, url: str = "url", page: str = "html") -> DataFrame
         F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("looks"),
         F.sum(F.when(F.col("kind") == 2, F.col("n") * F.ln("n"))).alias("look_logs"),
     )
-    pages = sums.where("own is not null").select("host", F.col("own").alias("pages"))
     log_m = F.ln(F.greatest(F.col("pages"), F.lit(2)))
+    sums = settle(sums)  # pages are parsed once for both the counts and the number of pages
+    pages = sums.where("own is not null").select("host", F.col("own").alias("pages"))
     return sums.join(pages, "host").select(
         "host", "path", "pages",
         F.try_divide(F.ln(F.col("looks")) - F.col("look_logs") / F.col("looks"), log_m).alias("look"),
@@ -212,20 +217,27 @@ def noisy(tree: dict[str, tuple]) -> frozenset[str]:
 
 
 def main_text(page: str | None, low: frozenset[str]) -> str:
-    """Blocks of the article that neither the tags nor the style tree call noise, one to a line."""
+    """The page's main text, one block to a line. `low`: paths of its host that the style tree finds unimportant.
+
+    The tree decides first: blocks on a branch of low importance go, by whatever name. Inside an article this holds
+    for branches below the article's own element, and only where the article as a whole varies over the host: where
+    it doesn't, its pages are copies and tell nothing. What is left outside the article, or in an element whose tag,
+    role or names call it something else, goes next: such text may well differ from page to page.
+    """
     found, _ = parse(page or "")
-    kept = [b for b in found if not b.noise]
-    if any(b.article for b in kept):
-        # inside an article only branches with a name of their own can be noise: its plain paragraphs may be copies
-        kept = [b for b in kept if b.article and not (b.marked and _branch(b.path, low))]
-    else:
-        kept = [b for b in kept if not _branch(b.path, low)]
+    kept = [b for b in found if not (low and _branch(b, low))]
+    kept = [b for b in kept if not b.noise]
+    if any(b.article is not None for b in kept):
+        kept = [b for b in kept if b.article is not None]
     return "\n".join(b.text for b in kept)
 
 
-def _branch(path: str, low: frozenset[str]) -> bool:
-    """Whether the path or a branch above it (below the body) is noise."""
-    while path.count("/") > 2:
+def _branch(block: Block, low: frozenset[str]) -> bool:
+    """Whether the block's path or a branch above it (below the body, or below its article) is unimportant."""
+    if block.article is not None and block.article in low:
+        return False
+    path, top = block.path, block.article if block.article is not None else ""
+    while len(path) > len(top) and path.rpartition("/")[2] not in ("body", "html"):
         if path in low:
             return True
         path = path.rpartition("/")[0]
@@ -236,22 +248,22 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "
     """Main text of every page: key, url, text, n_chars (code points).
 
     Pages of one host are merged into a style tree by counting over all pages (no group is gathered: counts are
-    summed before they are shuffled). A branch of low composite importance is left out, besides what tags, roles and
-    class names call menu, header, footer, sidebar, notice, advert, form or comment. In a page with an article only
-    that counts; its unnamed paragraphs always stay. Copies of a page count as one in the tree, so that copied articles
-    don't look like templates; copies that differ in any other text outside of marked noise still count each. Hosts of
-    fewer than PAGES distinct pages rely on the tags. Character references are decoded, white space inside a block
-    becomes one space, blocks are joined by a line feed. Null html is empty, a null url is the host ""; repeated rows
-    give repeated results; an empty table gives an empty one; other columns are left out. Style trees are broadcast
-    up to TREE_ROWS rows; beyond that, blocks of hosts are handled one after the other.
+    summed before they are shuffled, and the tree is written once to the shared folder). Branches of low composite
+    importance are left out, inside an article too (see `main_text`); then what tags, roles and class names call menu,
+    header, footer, sidebar, notice, advert, form or comment. Copies of a page count as one in the tree, so that copied
+    articles don't look like templates; copies that differ in any other text outside of marked noise still count each.
+    Hosts of fewer than PAGES distinct pages rely on the tags. Character references are decoded, white space inside a
+    block becomes one space, blocks are joined by a line feed. Null html is empty, a null url is the host ""; repeated
+    rows give repeated results; an empty table gives an empty one; other columns are left out. Style trees are
+    broadcast up to TREE_ROWS rows; beyond that, blocks of hosts are handled one after the other.
     """
     spark = df.sparkSession
     trees = importance(df, url, page)
-    rows = trees.where(F.col("pages") >= PAGES).select("host", "path", "pages", "look", "content", "texts")
-    size = rows.limit(TREE_ROWS + 1).count()
+    rows = settle(trees.where(F.col("pages") >= PAGES).select("host", "path", "pages", "look", "content", "texts"))
+    size = rows.count()
     if size <= TREE_ROWS:
         return _apply(df, spark, rows, None, key, url, page)
-    parts = -(-rows.count() // TREE_ROWS)
+    parts = -(-size // TREE_ROWS)
     out = None
     for b in range(parts):
         own = rows.where(F.pmod(F.xxhash64("host"), F.lit(parts)) == b)

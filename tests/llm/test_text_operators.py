@@ -236,6 +236,19 @@ def test_style_tree_drops_unmarked_boilerplate(spark):
     assert htmltext.extract(rows.limit(0)).count() == 0
 
 
+def test_style_tree_decides_inside_articles(spark):
+    """Branches without telling names that a host repeats go, in an article too; passages that a few pages share, and
+    whatever differs from page to page, stay. Without the tree every page would keep them."""
+    page = "<html><body><nav>m {0}</nav><div class='k1'>Our site in one line</div><article><h1>Title {0}</h1><div class='k2'><p>Read more of us every day</p></div><p>Own words {0}.</p>{1}<section><p>Part {0}</p></section><div>Join our list</div></article></body></html>"
+    shared = "<p>A passage that some pages share.</p>"
+    rows = [(i, "http://h.example/", page.format(i, shared if i % 5 == 0 else "")) for i in range(60)]
+    want = {i: f"Title {i}\nOwn words {i}." + ("\nA passage that some pages share." if i % 5 == 0 else "") + f"\nPart {i}" for i, _, _ in rows}
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == want
+    changed = sum(htmltext.main_text(p, frozenset()) != got[i] for i, _, p in rows)
+    assert changed == len(rows)  # the tree changes all pages of this host
+
+
 def test_copied_articles_stay(spark):
     page = "<html><body><nav>m</nav><article><h1>A</h1><p>Copied text.</p></article></body></html>"
     rows = spark.createDataFrame([(i, "http://h.example/", page) for i in range(12)], "page_id bigint, url string, html string")
