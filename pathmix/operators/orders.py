@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .graph import cut
+from .settled import cut
 
 
 def walks_of_length(edges: DataFrame, highest: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import paths as P
 from . import distributions as D
 from . import windows as W
-from .graph import cut
+from .settled import cut
 from .score import rounded
 
 

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths as P
+from .settled import cut
+
+
+#: Nodes of a user's history that individual memories read: fixed value.
+HISTORY = 3000
 
 
 def at_least(paths: DataFrame, nodes: int) -> DataFrame:
@@ -39,6 +44,7 @@ def ranked(rows: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the position (from 0) of each distinct value in sorted order, without one task for all rows: values are
     dealt in sorted ranges, ranked in their range, and shifted by the sizes of the ranges before it."""
     dealt = rows.repartitionByRange(F.col(column)).sortWithinPartitions(column).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    dealt = cut(dealt)  # both the counts and the ranks read the same rows, whichever task runs again
     inside = dealt.withColumn("_r", F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33))
     sizes = inside.groupBy("_p").agg(F.count("*").alias("n"))
     before = sizes.withColumn("_shift", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

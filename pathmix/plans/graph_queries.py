@@ -63,37 +63,38 @@ def pagerank(spark, sf):
     return R.pagerank(edges, nodes, 10).select("node", F.round("rank", 8).alias("rank"))
 
 
-PAIRS = "pairs20 AS (SELECT a.node AS source, b.node AS target FROM geo a, geo b WHERE a.node % 20 = 1 AND b.node % 5 = 2)"
+PAIRS = "trip_ends AS (SELECT DISTINCT path[1] AS source, path[len(path)] AS target FROM op)"
 
 
-def _pairs(nodes):
-    return nodes.where("node % 20 = 1").select(F.col("node").alias("source")).join(nodes.where("node % 5 = 2").select(F.col("node").alias("target")), how="cross")
+def _pairs(spark, sf):
+    """Where trips begin and end: every such pair."""
+    return T.supplier_paths(spark, sf).select(F.get("path", F.lit(0)).alias("source"), F.element_at("path", -1).alias("target")).distinct()
 
 
-@query(f"""WITH RECURSIVE {ROAD}, {GEO}, {UND}, {PAIRS}, b(source, node, hops) AS (SELECT DISTINCT source, source, 0 FROM pairs20 UNION SELECT b.source, und.target, b.hops + 1 FROM b JOIN und ON und.source = b.node WHERE b.hops < 30)
-, m AS (SELECT source, node, min(hops) AS hops FROM b GROUP BY 1, 2) SELECT p.source, p.target, CAST(coalesce(m.hops, 31) AS INTEGER) AS hops FROM pairs20 p LEFT JOIN m ON m.source = p.source AND m.node = p.target""")
+@query(f"""WITH RECURSIVE {ROAD}, {GEO}, {UND}, {PAIRS}, b(source, node, hops) AS (SELECT DISTINCT source, source, 0 FROM trip_ends UNION SELECT b.source, und.target, b.hops + 1 FROM b JOIN und ON und.source = b.node WHERE b.hops < 30)
+, m AS (SELECT source, node, min(hops) AS hops FROM b GROUP BY 1, 2) SELECT p.source, p.target, CAST(coalesce(m.hops, 31) AS INTEGER) AS hops FROM trip_ends p LEFT JOIN m ON m.source = p.source AND m.node = p.target""")
 def bfs_hops(spark, sf):
-    edges, nodes = parts(spark, sf)
-    return R.hops(edges, _pairs(nodes))
+    edges, _ = parts(spark, sf)
+    return R.hops(edges, _pairs(spark, sf))
 
 
-SP = f"""WITH RECURSIVE {ROAD}, {GEO}, {PAIRS}, b(source, node, cost, step) AS (SELECT DISTINCT source, source, 0, 0 FROM pairs20 UNION ALL
+SP = f"""WITH RECURSIVE {ROAD}, {GEO}, {PAIRS}, b(source, node, cost, step) AS (SELECT DISTINCT source, source, 0, 0 FROM trip_ends UNION ALL
 SELECT source, node, cost, step FROM (SELECT source, node, min(cost) AS cost, max(step) AS step FROM (SELECT b.source, road.target AS node, b.cost + road.length AS cost, b.step + 1 AS step FROM b JOIN road ON road.source = b.node WHERE b.step < 25 UNION ALL SELECT source, node, cost, step + 1 FROM b WHERE b.step < 25) GROUP BY source, node)),
-m AS (SELECT source, node, min(cost) AS cost FROM b GROUP BY 1, 2) SELECT p.source, p.target, CAST(m.cost AS DOUBLE) AS cost FROM pairs20 p LEFT JOIN m ON m.source = p.source AND m.node = p.target"""
+m AS (SELECT source, node, min(cost) AS cost FROM b GROUP BY 1, 2) SELECT p.source, p.target, CAST(m.cost AS DOUBLE) AS cost FROM trip_ends p LEFT JOIN m ON m.source = p.source AND m.node = p.target"""
 
 
 @query(SP)
 def shortest_paths(spark, sf):
     """Costs of routes; the paths themselves are tested against plain Python."""
-    edges, nodes = parts(spark, sf)
-    return R.routes(edges, _pairs(nodes)).select("source", "target", "cost")
+    edges, _ = parts(spark, sf)
+    return R.routes(edges, _pairs(spark, sf)).select("source", "target", "cost")
 
 
-@query(SP.replace("SELECT p.source, p.target, CAST(m.cost AS DOUBLE) AS cost FROM pairs20 p LEFT JOIN m ON m.source = p.source AND m.node = p.target", "SELECT source, CAST(node AS INTEGER) AS node, CAST(cost AS DOUBLE) AS cost FROM m"))
+@query(SP.replace("SELECT p.source, p.target, CAST(m.cost AS DOUBLE) AS cost FROM trip_ends p LEFT JOIN m ON m.source = p.source AND m.node = p.target", "SELECT source, CAST(node AS INTEGER) AS node, CAST(cost AS DOUBLE) AS cost FROM m"))
 def shortest_costs(spark, sf):
     """The same by relaxing frontiers of DataFrames."""
-    edges, nodes = parts(spark, sf)
-    return R.shortest_costs(edges, nodes.where("node % 20 = 1").select(F.col("node").alias("source")))
+    edges, _ = parts(spark, sf)
+    return R.shortest_costs(edges, _pairs(spark, sf).select("source").distinct())
 
 
 @query(f"WITH {GEO} SELECT a.node AS a, b.node AS b, round({km('a', 'b')}, 6) AS km FROM geo a JOIN geo b ON a.node < b.node AND b.node - a.node <= 3")
@@ -206,10 +207,10 @@ def mapping_statistics(spark, sf):
     return n.agg(F.count("*").alias("points"), *[F.round(f("km"), 4).alias(a) for f, a in ((F.avg, "mean_km"), (F.min, "min_km"), (F.max, "max_km"))])
 
 
-@query(SP.replace("SELECT p.source, p.target, CAST(m.cost AS DOUBLE) AS cost FROM pairs20 p LEFT JOIN m ON m.source = p.source AND m.node = p.target", "SELECT count(*) AS pairs, CAST(count(*) FILTER (WHERE m.cost IS NULL) AS BIGINT) AS unroutable FROM pairs20 p LEFT JOIN m ON m.source = p.source AND m.node = p.target"))
+@query(SP.replace("SELECT p.source, p.target, CAST(m.cost AS DOUBLE) AS cost FROM trip_ends p LEFT JOIN m ON m.source = p.source AND m.node = p.target", "SELECT count(*) AS pairs, CAST(count(*) FILTER (WHERE m.cost IS NULL) AS BIGINT) AS unroutable FROM trip_ends p LEFT JOIN m ON m.source = p.source AND m.node = p.target"))
 def unroutable_pairs(spark, sf):
-    edges, nodes = parts(spark, sf)
-    return R.routes(edges, _pairs(nodes)).agg(F.count("*").alias("pairs"), F.count(F.when(F.col("path").isNull(), 1)).alias("unroutable"))
+    edges, _ = parts(spark, sf)
+    return R.routes(edges, _pairs(spark, sf)).agg(F.count("*").alias("pairs"), F.count(F.when(F.col("path").isNull(), 1)).alias("unroutable"))
 
 
 @query()
@@ -222,18 +223,12 @@ def clean_routes(spark, sf):
     return legs.join(c.toDF("a", "x1", "y1"), "a").join(c.toDF("b", "x2", "y2"), "b").drop("a", "b")
 
 
-@query("""WITH v AS (SELECT vec_id AS node, embedding FROM embeddings WHERE vec_id < 200), q AS (SELECT vec_id AS point, embedding AS e FROM embeddings WHERE vec_id >= 200 AND vec_id < 260)
-SELECT point, arg_min(node, (round(list_distance(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 9), node)) AS node FROM v, q GROUP BY point""")
+@query("""WITH q AS (SELECT vec_id AS point, embedding AS e FROM embeddings WHERE vec_id % 20 = 0)
+SELECT point, arg_min(vec_id, (round(list_distance(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 9), vec_id)) AS node FROM embeddings, q WHERE vec_id <> point GROUP BY point""")
 def embedding_decode(spark, sf):
-    """The vocabulary vector nearest to each given one (the vocabulary is the smaller, bounded side)."""
-    e = T.read(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    vocab = e.where("vec_id < 200").select(F.lit(0).alias("k"), F.struct(F.col("vec_id").alias("node"), "v").alias("x")).groupBy("k").agg(F.collect_list("x").alias("all"))
-    asked = e.where("vec_id >= 200 and vec_id < 260").withColumn("k", F.lit(0)).join(F.broadcast(vocab), "k")
-
-    def far(x):
-        return F.struct(F.round(F.sqrt(F.aggregate(F.zip_with("v", x["v"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y)), 9).alias("d"), x["node"].alias("node"))
-
-    return asked.select(F.col("vec_id").alias("point"), F.array_min(F.transform("all", far))["node"].alias("node"))
+    """The vector nearest to each one whose id is divisible by 20, among all others."""
+    e = T.read(spark, sf, "embeddings").select("vec_id", "embedding")
+    return R.nearest_vectors(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding")
 
 
 @query()

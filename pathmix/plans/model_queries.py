@@ -152,7 +152,7 @@ USERS = f"WITH {HNG}, " + WIN.split("test AS (SELECT * FROM trip WHERE trip_id %
 
 def _individual(spark, sf):
     train, windows = data(spark, sf)
-    own = W.history_ngrams(W.histories(train, "user_id", "trip_id", 30), "user_id", 3)
+    own = W.history_ngrams(W.histories(train, "user_id", "trip_id", W.HISTORY), "user_id", 3)
     return train, windows, M.individual(own, windows, "user_id", M.unigram(train).select("size"), 3)
 
 
@@ -235,12 +235,12 @@ def persistence_baseline(spark, sf):
     return S.persistence(data(spark, sf)[1])
 
 
-@query(f"""{BACK}{SQL_HW}, {score_sql()}, deg AS (SELECT path[i] AS node, count(DISTINCT path[i+1]) AS g FROM (SELECT path, unnest(range(1, len(path))) AS i FROM train WHERE trip_id % 40 = 1) WHERE path[i] <> path[i+1] GROUP BY 1),
+@query(f"""{BACK}{SQL_HW}, {score_sql()}, deg AS (SELECT path[i] AS node, count(DISTINCT path[i+1]) AS g FROM (SELECT path, unnest(range(1, len(path))) AS i FROM train) WHERE path[i] <> path[i+1] GROUP BY 1),
 sel AS (SELECT sc.* FROM sc JOIN win USING (trip_id, pos) LEFT JOIN deg ON deg.node = win.ctx[5] WHERE coalesce(g, 0) >= 4) SELECT {AGG} FROM sel""")
 def decision_node_metrics(spark, sf):
-    """Scores where the current node has at least four successors in a sample of the paths."""
+    """Scores where the current node has at least four successors in the training paths."""
     train, windows = data(spark, sf)
-    edges = W.ngrams(train.where("trip_id % 40 = 1"), 1).select(F.get("ctx", F.lit(0)).alias("source"), F.col("next").alias("target"))
+    edges = W.ngrams(train, 1).select(F.get("ctx", F.lit(0)).alias("source"), F.col("next").alias("target"))
     return S.metrics(S.scored(S.at_decisions(windows, edges, 4), predicted(spark, sf, 3, M.weighted(3))))
 
 

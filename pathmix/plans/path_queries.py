@@ -101,7 +101,7 @@ def kgram_decode(spark, sf):
     return W.kgram_decode(encoded, vocab_).select("trip_id", txt().alias("path"))
 
 
-@query(f"""WITH {LI}, known AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT DISTINCT node FROM li WHERE trip_id % 50 = 0))
+@query(f"""WITH {LI}, known AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT DISTINCT node FROM li WHERE trip_id % 5 <> 0))
 SELECT trip_id, string_agg(CAST(idx AS VARCHAR), '-' ORDER BY pos) AS path FROM li JOIN known USING (node) GROUP BY trip_id""")
 def categorical_encode(spark, sf):
     """Dense ids from the training trips; nodes that those never visit are dropped."""
@@ -117,7 +117,7 @@ def cluster_encode(spark, sf):
     return W.encode(paths, dim).select("trip_id", txt().alias("path"))
 
 
-@query(f"""WITH {LI}, known AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT DISTINCT node FROM li WHERE trip_id % 50 = 0)), t AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY pos DESC) AS r FROM li)
+@query(f"""WITH {LI}, known AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT DISTINCT node FROM li WHERE trip_id % 5 <> 0)), t AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY pos DESC) AS r FROM li)
 SELECT trip_id, string_agg(CAST(idx AS VARCHAR), '-' ORDER BY pos) AS ctx FROM t LEFT JOIN known USING (node) WHERE r <= 3 GROUP BY trip_id""")
 def context_encode(spark, sf):
     """The last three nodes of each path as dense ids; null where none is known."""
@@ -137,12 +137,12 @@ def bigram_lags(spark, sf):
     return W.lags(T.event_paths(spark, sf))
 
 
-HIST = EV + ", hist AS (SELECT user_id, list_reverse(list_reverse(flatten(list(path ORDER BY trip_id)))[:30]) AS nodes FROM train GROUP BY user_id)"
+HIST = EV + f", hist AS (SELECT user_id, list_reverse(list_reverse(flatten(list(path ORDER BY trip_id)))[:{W.HISTORY}]) AS nodes FROM train GROUP BY user_id)"
 
 
 @query(f"WITH {HIST} SELECT user_id, array_to_string(nodes, '-') AS nodes FROM hist")
 def user_history(spark, sf):
-    return W.histories(T.event_paths(spark, sf).where(TRAIN), "user_id", "trip_id", 30).select("user_id", txt("nodes").alias("nodes"))
+    return W.histories(T.event_paths(spark, sf).where(TRAIN), "user_id", "trip_id", W.HISTORY).select("user_id", txt("nodes").alias("nodes"))
 
 
 HNG = HIST + """, hng AS (SELECT user_id, k, nodes[i-k+1:i] AS ctx, nodes[i+1] AS nxt, count(*) AS cnt
@@ -151,13 +151,13 @@ HNG = HIST + """, hng AS (SELECT user_id, k, nodes[i-k+1:i] AS ctx, nodes[i+1] A
 
 @query(f"WITH {HNG} SELECT user_id, CAST(k AS INTEGER) AS k, array_to_string(ctx, '-') AS ctx, nxt AS next, cnt FROM hng")
 def history_windows(spark, sf):
-    own = W.history_ngrams(W.histories(T.event_paths(spark, sf).where(TRAIN), "user_id", "trip_id", 30), "user_id", 3)
+    own = W.history_ngrams(W.histories(T.event_paths(spark, sf).where(TRAIN), "user_id", "trip_id", W.HISTORY), "user_id", 3)
     return own.select("user_id", "k", txt("ctx").alias("ctx"), "next", "cnt")
 
 
 @query(f"WITH {HNG} SELECT user_id, CAST(k AS INTEGER) AS k, array_to_string(ctx, '-') AS ctx FROM hng GROUP BY user_id, k, hng.ctx")
 def history_kgrams(spark, sf):
-    own = W.history_ngrams(W.histories(T.event_paths(spark, sf).where(TRAIN), "user_id", "trip_id", 30), "user_id", 3)
+    own = W.history_ngrams(W.histories(T.event_paths(spark, sf).where(TRAIN), "user_id", "trip_id", W.HISTORY), "user_id", 3)
     return own.select("user_id", "k", "ctx").distinct().select("user_id", "k", txt("ctx").alias("ctx"))
 
 
@@ -166,7 +166,7 @@ s AS (SELECT user_id, ctx, k, ctx[len(ctx)-k+1:] AS s FROM w, (SELECT unnest(ran
 SELECT s.user_id, array_to_string(s.ctx, '-') AS ctx, CAST(coalesce(max(h.k), 0) AS INTEGER) AS k FROM s LEFT JOIN (SELECT DISTINCT user_id, k, ctx FROM hng) h ON h.user_id = s.user_id AND h.k = s.k AND h.ctx = s.s GROUP BY s.user_id, s.ctx""")
 def longest_suffix_match(spark, sf):
     ev = T.event_paths(spark, sf)
-    own = W.history_ngrams(W.histories(ev.where(TRAIN), "user_id", "trip_id", 30), "user_id", 3)
+    own = W.history_ngrams(W.histories(ev.where(TRAIN), "user_id", "trip_id", W.HISTORY), "user_id", 3)
     contexts = W.samples(ev.where(TEST), 5).select("user_id", "ctx").distinct()
     return W.longest_match(contexts, W.rows_of(own, ["user_id"]), 3, ["user_id"]).select("user_id", txt("ctx").alias("ctx"), "k")
 

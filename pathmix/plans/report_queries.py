@@ -159,12 +159,12 @@ def transition_routing(spark, sf):
 # orders
 
 
-@query(f"""WITH RECURSIVE {LI}, e AS (SELECT DISTINCT a, b FROM (SELECT node AS a, lead(node) OVER (PARTITION BY trip_id ORDER BY pos) AS b FROM li WHERE trip_id % 7 = 0) WHERE b IS NOT NULL),
+@query(f"""WITH RECURSIVE {LI}, e AS (SELECT DISTINCT a, b FROM (SELECT node AS a, lead(node) OVER (PARTITION BY trip_id ORDER BY pos) AS b FROM li) WHERE b IS NOT NULL),
 w(k, node, w) AS (SELECT 1, b, count(*)::DOUBLE FROM e GROUP BY b UNION ALL SELECT k, node, w FROM (SELECT w.k + 1 AS k, e.b AS node, sum(w.w) AS w FROM w JOIN e ON e.a = w.node WHERE w.k < 3 GROUP BY w.k, e.b))
 SELECT CAST(k AS INTEGER) AS k, sum(w) AS walks FROM w GROUP BY k""")
 def mogen_dof(spark, sf):
     """Walks of each length over the observed edges."""
-    one = W.ngrams(T.supplier_paths(spark, sf).where("trip_id % 7 = 0"), 1)
+    one = W.ngrams(T.supplier_paths(spark, sf), 1)
     return N.walks_of_length(one.select(F.get("ctx", F.lit(0)).alias("source"), F.col("next").alias("target")), 3)
 
 

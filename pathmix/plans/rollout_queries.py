@@ -163,8 +163,8 @@ def decode_kgram(spark, sf):
 
 
 CAND = f"""WITH {ROAD}, {GEO}, t AS (SELECT trip_id, pos, node, lag(node) OVER w AS prev, lead(node) OVER w AS nxt FROM li WINDOW w AS (PARTITION BY trip_id ORDER BY pos)),
-tr AS (SELECT * FROM t WHERE trip_id % 10 = 0), sec AS (SELECT prev, node, nxt AS cand, count(*) AS c FROM tr WHERE prev IS NOT NULL AND nxt IS NOT NULL GROUP BY 1, 2, 3), fir AS (SELECT node, nxt AS cand, count(*) AS c FROM tr WHERE nxt IS NOT NULL AND node % 3 <> 0 GROUP BY 1, 2),
-pri AS (SELECT node, count(*)::DOUBLE AS p FROM tr GROUP BY 1), rows AS (SELECT trip_id AS key, prev, node FROM t WHERE pos = 1 AND trip_id % 10 = 3 AND prev IS NOT NULL),
+tr AS (SELECT * FROM t WHERE trip_id % 5 <> 0), sec AS (SELECT prev, node, nxt AS cand, count(*) AS c FROM tr WHERE prev IS NOT NULL AND nxt IS NOT NULL GROUP BY 1, 2, 3), fir AS (SELECT node, nxt AS cand, count(*) AS c FROM tr WHERE nxt IS NOT NULL GROUP BY 1, 2),
+pri AS (SELECT node, count(*)::DOUBLE AS p FROM tr GROUP BY 1), rows AS (SELECT trip_id AS key, prev, node FROM t WHERE pos = 1 AND trip_id % 5 = 0 AND prev IS NOT NULL),
 al AS (SELECT key, cand, c::DOUBLE AS p, 2 AS level FROM rows JOIN sec USING (prev, node) UNION ALL SELECT key, cand, c::DOUBLE, 1 FROM rows JOIN fir USING (node) UNION ALL
  SELECT key, target, coalesce(pri.p, 0), 0 FROM rows JOIN road ON road.source = rows.node LEFT JOIN pri ON pri.node = road.target),
 ca AS (SELECT key, cand, level, p / nullif(sum(p) OVER (PARTITION BY key), 0) AS p FROM (SELECT *, max(level) OVER (PARTITION BY key) AS top FROM al) WHERE level = top)"""
@@ -172,9 +172,9 @@ ca AS (SELECT key, cand, level, p / nullif(sum(p) OVER (PARTITION BY key), 0) AS
 
 def _candidates(spark, sf):
     paths = T.supplier_paths(spark, sf)
-    train, ask = paths.where("trip_id % 10 = 0"), paths.where("trip_id % 10 = 3")
+    train, ask = paths.where("trip_id % 5 <> 0"), paths.where("trip_id % 5 = 0")
     second = W.ngrams(train, 2, 2).select(F.get("ctx", F.lit(0)).alias("prev"), F.get("ctx", F.lit(1)).alias("node"), "next", "cnt")
-    first = W.ngrams(train, 1).select(F.get("ctx", F.lit(0)).alias("node"), "next", "cnt").where("node % 3 <> 0")
+    first = W.ngrams(train, 1).select(F.get("ctx", F.lit(0)).alias("node"), "next", "cnt")
     road = T.road(spark, sf).select(F.col("source").alias("node"), F.col("target").alias("next"))
     prior = W.steps(train).groupBy("node").agg(F.count("*").cast("double").alias("p"))
     rows = ask.where(F.size("path") >= 2).select(F.col("trip_id").alias("key"), F.get("path", F.lit(0)).alias("prev"), F.get("path", F.lit(1)).alias("node"))
