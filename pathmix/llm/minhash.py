@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, drop_settled, flat, grouped, mix, pieces, settle, windows
@@ -19,6 +19,8 @@ COORDS, COMPARED = 64, 248
 JOINED = 1 << 20
 #: Shingles whose sets one task holds at once when texts of a tile meet with their full sets.
 VOLUME = 4_000_000
+#: Texts of one block of a node; a node of more is compared in tiles of two blocks each.
+SPLIT = 512
 #: Rows of a few numbers each that are broadcast; with more, tables are joined by shuffling both.
 LISTED = 1_000_000
 
@@ -319,7 +321,8 @@ class ChosenPath:
     def round(self, rows: DataFrame, found: DataFrame | None, reps: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
         """Proposals of the tiles, those to pivots, and the rows (node, id) of the next round, if any.
 
-        A node is tiled whole if it is small; cut into blocks of its largest component, each with all others, if
+        A node of up to SPLIT texts is one tile; one of up to `leaf` is cut into blocks that meet pairwise, so that no
+        task reads a whole hot node; a larger one is cut into blocks of its largest component, each with all others, if
         those are few; else its texts meet a pivot outside that component and branch on.
         """
         known = rows if found is None else rows.join(found, "id", "left")
@@ -328,12 +331,20 @@ class ChosenPath:
         sizes = each.groupBy("node").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
         sizes = sizes.where("comps > 1").select("node", "size", F.col("top.comp").alias("main_comp"), (F.col("size") - F.col("top.k")).alias("others"))
         known = known.join(sizes, "node").withColumn("main", F.col("comp") == F.col("main_comp"))
+
+        def met(parts: Column) -> Column:
+            """Pairs of blocks, each pair a tile: the tiles in which a row has to appear."""
+            own = F.pmod(F.xxhash64("id"), parts).cast("int")
+            return F.array_distinct(F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.least(o, own) * parts + F.greatest(o, own)))
+
         count = F.ceil(F.col("size") / self.leaf).cast("int")
         block = F.pmod(F.xxhash64("id"), count).cast("int")
         few = F.col("others") <= self.leaf
-        tile = F.when(F.col("size") <= self.leaf, F.array(F.lit(0))).when(few & F.col("main"), F.array(block)).when(few, F.sequence(F.lit(0), count - 1))
-        if last:  # pairs of blocks, each pair a tile: exhaustive, for whatever no branching has parted
-            tile = tile.otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), count - 1), lambda o: F.least(o, block) * count + F.greatest(o, block))))
+        fine = F.ceil(F.col("size") / SPLIT).cast("int")
+        tile = F.when(F.col("size") <= min(self.leaf, SPLIT), F.array(F.lit(0))).when(F.col("size") <= self.leaf, met(fine))
+        tile = tile.when(few & F.col("main"), F.array(block)).when(few, F.sequence(F.lit(0), count - 1))
+        if last:  # exhaustive, for whatever no branching has parted
+            tile = tile.otherwise(met(count))
         tiled = known.select("node", F.explode(tile).alias("tile"), "id", "comp")
         ids = rows.select("id").distinct()
         proposed = self.tiles(tiled.join(listed(reps.select("id", "view"), ids, ids.count()), "id"))
@@ -398,8 +409,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     with nothing and kept; repeated rows share their component; a null key keeps its row and links nothing; an empty
     table gives an empty one; other columns are left out. Links are confirmed on full sets; a pair at the bound
     meets in some node of `trees` trees with probability of about 1 - exp(-trees).
-    Intermediate tables (sketches, nodes, links, sets of candidates) are written to the shared folder.
+    Intermediate tables (sketches, nodes, links, sets of candidates) are written to the shared folder. The key must be
+    a whole number.
     """
+    if df.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{key} must be a whole number")
     return ChosenPath(percent, width, **options).run(df, key, text)
 
 

@@ -103,6 +103,40 @@ def test_near_duplicates_of_hot_groups(spark, options):
     assert joined(spark.createDataFrame(rows, DOC), **options) == near(rows)
 
 
+def test_hot_nodes_are_split(spark, monkeypatch):
+    rows = list(enumerate(family()))
+    monkeypatch.setattr(minhash, "SPLIT", 4)
+    assert joined(spark.createDataFrame(rows, DOC)) == near(rows)
+
+
+def test_recall_on_thousands_of_near_pairs(spark):
+    """Share of links, among thousands at 0.80 to 0.99, whose ends are in one component; no component joins strangers."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for _ in range(1500):
+        words = [f"w{i}" for i in rng.integers(0, 10**6, 120)]
+        rows.append(" ".join(words))
+        for _ in range(2):
+            near_ = list(words)
+            for _ in range(rng.integers(1, 5)):
+                near_[rng.integers(len(near_))] = f"x{rng.integers(10**6)}"
+            rows.append(" ".join(near_))
+    rows = list(enumerate(rows))
+    want, got = near(rows), joined(spark.createDataFrame(rows, DOC))
+    tied = [i for i, (_, c) in want.items() if c != i]
+    found = sum(got[i][1] == got[want[i][1]][1] for i in tied)
+    print("recall", found, len(tied))
+    assert len(tied) > 1500 and found >= 0.99 * len(tied)
+    assert all(got[i][1] >= want[i][1] for i in got)  # every link is confirmed: components are never larger
+
+
+def test_string_keys_are_refused(spark):
+    with pytest.raises(TypeError):
+        minhash.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    with pytest.raises(TypeError):
+        vectors.near_duplicates(spark.createDataFrame([("a", [1.0], 1)], "vec_id string, embedding array<float>, label int"))
+
+
 def test_large_groups_meet_in_blocks(spark, monkeypatch):
     rows = list(enumerate(family()))
     monkeypatch.setattr(minhash, "VOLUME", 2000)
