@@ -141,6 +141,22 @@ def listed(rows: DataFrame, ids: DataFrame, count: int) -> DataFrame:
     return rows.join(F.broadcast(ids) if count <= LISTED else ids, "id", "left_semi")
 
 
+def dealt_join(rows: DataFrame, table: DataFrame, key: str, size: str) -> DataFrame:
+    """`rows` (key, id, ...) joined with a settled `table` of one row per key, whose `size` says how many rows bear it.
+
+    Rows of a key of more than SPLIT rows, and more than one in LISTED of all rows (so fewer than LISTED keys, which are
+    broadcast), are dealt over parts of SPLIT by a hash of the id, and the key's row is copied for each part: no task
+    reads a whole hot key.
+    """
+    total = table.agg(F.sum(size)).first()[0] or 0
+    parts = F.ceil(F.col(size) / SPLIT).cast("int")
+    hot = F.col(size) > max(SPLIT, total // max(LISTED, 1))
+    dealt = rows.join(F.broadcast(table.where(hot).select(key, parts.alias("_parts"))), key, "left")
+    dealt = dealt.withColumn("_part", F.coalesce(F.pmod(F.xxhash64("id"), "_parts").cast("int"), F.lit(0))).drop("_parts")
+    copies = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(hot, parts - 1).otherwise(F.lit(0)))))
+    return dealt.join(copies, [key, "_part"]).drop("_part")
+
+
 class ChosenPath:
     """The join: sketches of texts in, confirmed components out.
 
@@ -261,9 +277,10 @@ class ChosenPath:
             ends = found.select("id", F.col("component").alias("c"))
             open_ = fresh.join(ends.toDF("a", "ca"), "a", "left").join(ends.toDF("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
             meeting = open_.select(F.col("a").alias("id")).join(groups, "id").select(F.col("component").alias("group")).distinct()
-            known = known.join(meeting, "group", "left_semi")
-        volume = known.groupBy("group").agg(F.sum("n").alias("volume"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
-        known = settle(known.join(volume.select("group", "volume"), "group"))
+        volume = known.groupBy("group").agg(F.sum("n").alias("volume"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("texts")).where("c1 < c2")
+        if found is not None:
+            volume = volume.join(meeting, "group", "left_semi")
+        known = settle(dealt_join(known, settle(volume.select("group", "volume", "texts")), "group", "texts").drop("texts"))
         count = F.ceil(F.col("volume") / VOLUME).cast("int")
         block = F.pmod(F.xxhash64("id"), count).cast("int")
         links = [settle(self._meet(known.select("group", block.alias("tile"), "id", "comp", F.lit(False).alias("main")), sets))]
@@ -271,9 +288,10 @@ class ChosenPath:
         if large.limit(1).count():
             again = components(links[0] if found is None else links[0].union(found.select(F.col("id").alias("a"), F.col("component").alias("b"))))
             large = large.drop("comp").join(again.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            each = large.groupBy("group", "comp").agg(F.sum("n").alias("n"))
-            tops = each.groupBy("group").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-            large = large.join(tops.select("group", F.col("top.comp").alias("main_comp"), F.col("top.n").alias("main_n")), "group").withColumn("main", F.col("comp") == F.col("main_comp"))
+            each = large.groupBy("group", "comp").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+            tops = each.groupBy("group").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("k").alias("texts")).where("comps > 1")
+            tops = settle(tops.select("group", F.col("top.comp").alias("main_comp"), F.col("top.n").alias("main_n"), "texts"))
+            large = dealt_join(large, tops, "group", "texts").withColumn("main", F.col("comp") == F.col("main_comp"))
             few = F.col("volume") - F.col("main_n") <= VOLUME
             whole = F.sequence(F.lit(0), count - 1)
             pair = F.transform(whole, lambda o: F.least(o, block) * count + F.greatest(o, block))
@@ -329,8 +347,8 @@ class ChosenPath:
         known = known.select("node", "id", (F.coalesce("component", "id") if found is not None else F.col("id")).alias("comp"))
         each = known.groupBy("node", "comp").agg(F.count("*").alias("k"))
         sizes = each.groupBy("node").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
-        sizes = sizes.where("comps > 1").select("node", "size", F.col("top.comp").alias("main_comp"), (F.col("size") - F.col("top.k")).alias("others"))
-        known = known.join(sizes, "node").withColumn("main", F.col("comp") == F.col("main_comp"))
+        sizes = settle(sizes.where("comps > 1").select("node", "size", F.col("top.comp").alias("main_comp"), (F.col("size") - F.col("top.k")).alias("others")))
+        known = dealt_join(known, sizes, "node", "size").withColumn("main", F.col("comp") == F.col("main_comp"))
 
         def met(parts: Column) -> Column:
             """Pairs of blocks, each pair a tile: the tiles in which a row has to appear."""
@@ -353,9 +371,9 @@ class ChosenPath:
         big = settle(known.where((F.col("size") > self.leaf) & ~few))
         ids = big.select("id").distinct()
         big = settle(big.join(listed(reps, ids, ids.count()), "id"))
-        pivots = big.where(~F.col("main")).groupBy("node").agg(F.min_by(F.struct("id", "view"), "id").alias("p"))
-        pivots = pivots.select("node", F.col("p.id").alias("pivot"), F.col("p.view").alias("pivot_view"))
-        return proposed, self.to_pivot(big.join(pivots, "node")), self.children(big, 1, 2 * self.branch)
+        pivots = big.where(~F.col("main")).groupBy("node").agg(F.min_by(F.struct("id", "view"), "id").alias("p"), F.first("size").alias("texts"))
+        pivots = settle(pivots.select("node", F.col("p.id").alias("pivot"), F.col("p.view").alias("pivot_view"), "texts"))
+        return proposed, self.to_pivot(dealt_join(big, pivots, "node", "texts")), self.children(big, 1, 2 * self.branch)
 
     def run(self, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """key, n_shingles, component_id, kept: one row per row of `df`; see `near_duplicates`."""
@@ -370,8 +388,9 @@ class ChosenPath:
             reps = settle(reps.dropDuplicates(["id", "view"]))
         sizes = reps.groupBy("id").agg(F.sum("n").alias("n")) if repeated else reps.select("id", "n")
         first = self.children(reps.withColumn("node", F.lit(0).cast("bigint")), self.trees, self.branch)
-        shared = first.groupBy("node").agg(F.count("*").alias("k")).where("k > 1").select("node")
-        rows: DataFrame | None = settle(first.join(shared, "node"))
+        shared = settle(first.groupBy("node").agg(F.count("*").alias("k")).where("k > 1"))
+        rows: DataFrame | None = settle(dealt_join(first, shared, "node", "k").drop("k"))
+        drop_settled(shared)
         proposed: DataFrame | None = None
         links: DataFrame | None = None
         found: DataFrame | None = None

@@ -109,6 +109,15 @@ def test_hot_nodes_are_split(spark, monkeypatch):
     assert joined(spark.createDataFrame(rows, DOC)) == near(rows)
 
 
+def test_hot_keys_are_dealt(spark):
+    """Three quarters of the rows bear one key: none is lost or doubled, and no part of the join holds them all."""
+    rows = spark.range(4000).select(F.when(F.col("id") % 4 > 0, 7).otherwise(F.col("id")).alias("node"), "id")
+    table = minhash.settle(rows.groupBy("node").agg(F.count("*").alias("k")))
+    out = minhash.dealt_join(rows, table, "node", "k")
+    assert sorted((r["node"], r["id"], r["k"]) for r in out.collect()) == sorted((7, i, 3000) if i % 4 else (i, i, 1) for i in range(4000))
+    assert out.hint("merge").where("node = 7").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 3000
+
+
 def test_recall_on_thousands_of_near_pairs(spark):
     """Share of links, among thousands at 0.80 to 0.99, whose ends are in one component; no component joins strangers."""
     rng = np.random.default_rng(9)
