@@ -96,7 +96,7 @@ class HiddenMarkov:
         return flat[:s], flat[s : s + s * s].reshape(s, s), flat[s + s * s : -1].reshape(s, size), float(flat[-1])
 
     def tilt(self, contexts: DataFrame) -> DataFrame:
-        """ctx, prefer: what the filtered state after ctx makes of each node."""
+        """ctx, prefer: what the filtered state after ctx makes of each node; a node unseen in training tells nothing."""
         pi, a, b = self.pi, self.a, self.b
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,8 +105,10 @@ class HiddenMarkov:
                 for ctx in part["ctx"]:
                     state = pi
                     for k, node in enumerate(ctx):
-                        state = (state if k == 0 else state @ a) * b[:, node]
-                        state = state / (state.sum() or 1.0)
+                        state = state if k == 0 else state @ a
+                        if 0 <= node < b.shape[1]:
+                            state = state * b[:, node]
+                            state = state / (state.sum() or 1.0)
                     out.append(((state @ a) @ b).tolist())
                 yield pd.DataFrame({"ctx": part["ctx"], "prefer": out})
 

@@ -9,7 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import iohmm as H
 from . import models as M
+from . import windows as W
 
 
 @dataclass(frozen=True)
@@ -19,6 +21,8 @@ class Predictor:
     order: int
     rule: Callable[[], Column]
     rampup: bool = False
+    keys: tuple[str, ...] = ()
+    floor: float = 1e-300
 
     def distribution(self, train: DataFrame, windows: DataFrame) -> DataFrame:
         """ctx, size, d for each distinct context of the windows."""
@@ -26,9 +30,54 @@ class Predictor:
         return ready.select("ctx", "size", self.rule().alias("d"))
 
 
-def predictor(name: str, **options) -> Predictor:
+@dataclass(frozen=True)
+class Memories:
+    """Population and individual memory, gated per user and context: windows need the column `user`."""
+
+    user: str = "user_id"
+    trip: str = "trip_id"
+    length: int = 5
+    order: int = 10
+    own_order: int = 3
+    floor: float = 1e-8
+
+    @property
+    def keys(self) -> tuple[str, ...]:
+        return (self.user,)
+
+    def distribution(self, train: DataFrame, windows: DataFrame) -> DataFrame:
+        """user, ctx, size, d for each distinct context of each user."""
+        own = W.history_ngrams(W.histories(train, self.user, self.trip, W.HISTORY), self.user, self.own_order)
+        ind = M.individual(own, windows, self.user, M.unigram(train).select("size"), self.own_order)
+        gated = M.gate(M.population(train, windows, self.length, self.order), ind, self.order)
+        return gated.select(self.user, "ctx", "size", F.col("mixed").alias("d"))
+
+
+@dataclass(frozen=True)
+class States:
+    """The hidden Markov predictor; nodes are numbers from 0. A context that no count matches falls back as order one does."""
+
+    states: int = 10
+    rounds: int = 50
+    keys: tuple[str, ...] = ()
+    floor: float = 1e-300
+
+    def distribution(self, train: DataFrame, windows: DataFrame) -> DataFrame:
+        """ctx, size, d for each distinct context of the windows."""
+        size = train.agg(F.max(F.array_max("path"))).first()[0] + 1
+        model = H.HiddenMarkov(self.states, self.rounds).fit(train, size)
+        base = M.prepare(train, windows, 1).select("ctx", "size", M.backoff(1).alias("_d"))
+        return base.join(H.predict(train, model, windows), "ctx", "left").select("ctx", "size", F.coalesce("d", "_d").alias("d"))
+
+
+def predictor(name: str, **options) -> Predictor | Memories | States:
     """mcN (back-off of order N), hwmcN (all orders weighted), akom, cpt, cptplus, mogen; options go to the rule, and
-    `order` sets the order where the name holds none."""
+    `order` sets the order where the name holds none. dmmc (population and individual memory) and iohmm (hidden
+    states) take the options of `Memories` and `States`."""
+    if name.lower() == "dmmc":
+        return Memories(**options)
+    if name.lower() == "iohmm":
+        return States(**options)
     found = re.fullmatch(r"(mc|hwmc|akom|cpt|cptplus|mogen)(\d*)", name.lower())
     if not found:
         raise ValueError(f"no predictor {name}")
@@ -51,7 +100,8 @@ def evaluate(train: DataFrame, windows: DataFrame, names: list[str], dataset: st
 
     out = None
     for name in names:
-        row = S.metrics(S.scored(windows, predictor(name).distribution(train, windows)))
+        chosen = predictor(name)
+        row = S.metrics(S.scored(windows, chosen.distribution(train, windows), list(chosen.keys), chosen.floor))
         values = [c for c in row.columns if c != "n"]
         part = row.select(F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), F.lit(name).alias("model"), *values).unpivot(["dataset", "split", "model"], values, "metric", "value")
         out = part if out is None else out.unionByName(part)

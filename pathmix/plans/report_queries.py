@@ -13,9 +13,10 @@ from ..operators import report as B
 from ..operators import windows as W
 from ..sources import tables as T
 from ..streaming import memory as S
-from .model_queries import data, dense
+from .model_queries import AGG, SQL_AKOM, SQL_CPT, SQL_HW, SQL_MOGEN, data, dense, score_sql, sql_backoff
 from .path_queries import RAMP, TRAIN
-from .registry import EV, GEO, LI, query
+from .registry import EV, GEO, LI, ROAD, WIN, query
+from .rollout_queries import KEY, S42
 
 REC = """rec0 AS (SELECT l_returnflag AS dataset, l_linenumber % 3 AS split, CASE l_suppkey % 4 WHEN 0 THEN 'MC2' WHEN 1 THEN 'MC10P' WHEN 2 THEN 'HWMC5' ELSE 'MC5' END AS model, round(avg(l_discount), 8) AS acc1, round(avg(l_tax), 8) AS nll FROM lineitem GROUP BY 1, 2, 3),
 rec AS (SELECT dataset, split, model, 'acc1' AS metric, acc1 AS value FROM rec0 UNION ALL SELECT dataset, split, model, 'nll', nll FROM rec0),
@@ -130,7 +131,13 @@ def longest_path(spark, sf):
     return T.event_paths(spark, sf).select("trip_id", "user_id", F.size("path").alias("n")).orderBy(F.desc("n"), "trip_id").limit(1)
 
 
-@query()
+@query(f"""WITH {TRIPS}{ROAD[len(LI):]}, q AS (SELECT u, path[1] AS a, path[len(path)] AS b, array_to_string(path, ',') AS text, path FROM t)
+SELECT 'missing_columns' AS "check", CAST(0 AS BIGINT) AS bad
+UNION ALL SELECT 'null_user_id', count(*) FILTER (WHERE u IS NULL) FROM q UNION ALL SELECT 'null_role', count(*) FILTER (WHERE u IS NULL) FROM q
+UNION ALL SELECT 'null_origin_node', count(*) FILTER (WHERE a IS NULL) FROM q UNION ALL SELECT 'null_destination_node', count(*) FILTER (WHERE b IS NULL) FROM q UNION ALL SELECT 'null_q_path', count(*) FILTER (WHERE text IS NULL) FROM q
+UNION ALL SELECT 'ends_differ', count(*) FILTER (WHERE CAST(string_split(text, ',')[1] AS INTEGER) <> a OR CAST(string_split(text, ',')[-1] AS INTEGER) <> b) FROM q
+UNION ALL SELECT 'short_paths', count(*) FILTER (WHERE len(path) < 2) FROM q UNION ALL SELECT 'unknown_nodes', count(*) FROM (SELECT unnest(path) AS node FROM q) WHERE node NOT IN (SELECT node FROM geo)
+UNION ALL SELECT 'implausible_places', count(*) FILTER (WHERE NOT (lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90)) FROM geo UNION ALL SELECT 'unknown_sources', count(*) FROM road WHERE source NOT IN (SELECT node FROM geo)""")
 def validate_trips(spark, sf):
     """Every check of a trip table against its network."""
     c = T.coordinates(spark, sf)
@@ -213,7 +220,18 @@ def user_sessions(spark, sf):
     return S.sessions(rows, "12 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@query()
+def _records_sql() -> str:
+    """One row of scores per fold and predictor, as records."""
+    fold = f"CAST({KEY.format(c='trip_id', s=S42)} % 2 AS INTEGER)"
+    rows = []
+    for split in (0, 1):
+        base = EV.split("train AS")[0] + f"train AS (SELECT * FROM trip WHERE {fold} <> {split}), test AS (SELECT * FROM trip WHERE {fold} = {split})" + WIN[len(EV) :]
+        for name, sql in (("mc3", sql_backoff(3)), ("hwmc3", SQL_HW), ("akom3", SQL_AKOM), ("cpt5", SQL_CPT), ("mogen3", SQL_MOGEN)):
+            rows.append(f"(WITH {base}, {sql}, {score_sql()} SELECT 'events' AS dataset, {split} AS split, '{name}' AS model, {AGG} FROM sc)")
+    return f"WITH r AS ({' UNION ALL '.join(rows)}) SELECT dataset, split, model, metric, value FROM r UNPIVOT (value FOR metric IN (acc1, acc3, acc5, mrr, nll, brier, ndcg5))"
+
+
+@query(_records_sql())
 def evaluation_records(spark, sf):
     """All count-based predictors over two folds: what the reports above aggregate."""
     from ..operators import registry, splits

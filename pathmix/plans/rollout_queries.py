@@ -13,6 +13,7 @@ from ..operators import rollout as O
 from ..operators import splits as L
 from ..operators import windows as W
 from ..sources import tables as T
+from .model_queries import SQL_HW
 from .path_queries import TEST, TRAIN
 from .registry import EV, GEO, LI, ROAD, WIN, matched, ngrams, query
 
@@ -70,7 +71,16 @@ def ar_metrics(spark, sf):
     return O.ar_metrics(_scores(spark, sf))
 
 
-@query()
+BLENDED = f"""WITH RECURSIVE {EV}, nodes AS (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS node), ctxs AS (SELECT [a.node, b.node, c.node] AS ctx FROM nodes a, nodes b, nodes c), {SQL_HW},
+best AS (SELECT ctx, arg_max(node, (round(p, 9), -node)) AS node FROM d GROUP BY ctx),
+r(trip_id, ctx, pred, steps, i) AS (SELECT trip_id, path[3:5], CAST([] AS INTEGER[]), least(len(path) - 5, 4), 0 FROM test WHERE len(path) >= 6 UNION ALL
+SELECT trip_id, list_append(r.ctx, best.node)[2:], list_append(pred, best.node), steps, i + 1 FROM r JOIN best ON best.ctx = r.ctx WHERE i < steps)
+SELECT trip_id, array_to_string(pred, '-') AS pred FROM r WHERE i = steps"""
+#: t(k, ctx, nxt, p): successors of the contexts of one and two nodes.
+TWO = f"{EV}, {ngrams(2)}, t AS (SELECT k, ctx, nxt, cnt / sum(cnt) OVER (PARTITION BY k, ctx) AS p FROM ng)"
+
+
+@query(BLENDED)
 def rollout_blended(spark, sf):
     """The same loop with all orders weighted."""
     train = T.event_paths(spark, sf).where(TRAIN)
@@ -78,14 +88,23 @@ def rollout_blended(spark, sf):
     return rolled.select("trip_id", P.text(F.col("pred")).alias("pred"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TWO}, e AS (SELECT DISTINCT ctx FROM t WHERE k = 2),
+r(trip_id, ctx, steps, pred, logp, i) AS (SELECT trip_id, path[4:5], least(len(path) - 5, 4), CAST([] AS INTEGER[]), 0.0::DOUBLE, 0 FROM test WHERE len(path) >= 6 UNION ALL
+SELECT trip_id, ctx, steps, pred, logp, i FROM (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY round(logp, 9) DESC, pred) AS place FROM (
+ SELECT r.trip_id, [r.ctx[2], t.nxt] AS ctx, steps, list_append(pred, t.nxt) AS pred, logp + ln(t.p) AS logp, i + 1 AS i FROM r LEFT JOIN e ON e.ctx = r.ctx JOIN t ON (e.ctx IS NOT NULL AND t.k = 2 AND t.ctx = r.ctx) OR (e.ctx IS NULL AND t.k = 1 AND t.ctx = r.ctx[2:]) WHERE i < steps)) WHERE place <= 3)
+SELECT trip_id, CAST(row_number() OVER (PARTITION BY trip_id ORDER BY round(logp, 9) DESC, pred) AS INTEGER) AS place, array_to_string(pred, '-') AS pred, round(logp, 6) AS logp FROM r WHERE i = steps""")
 def beam_search(spark, sf):
     train = T.event_paths(spark, sf).where(TRAIN)
     out = O.beam(_seeds(spark, sf, steps=4), _backoff(train, 2), 5)
     return out.select("trip_id", "place", P.text(F.col("pred")).alias("pred"), F.round("logp", 6).alias("logp"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TWO}, o AS (SELECT k, ctx, list(nxt ORDER BY -round(p, 9), nxt) AS o FROM t GROUP BY k, ctx),
+r(trip_id, d, path, ctx, reached, i) AS (SELECT trip_id, path[len(path)], [path[1]], [path[1], path[1]], path[1] = path[len(path)], 0 FROM test WHERE len(path) >= 6 UNION ALL
+SELECT trip_id, d, CASE WHEN n IS NULL THEN path ELSE list_append(path, n) END, CASE WHEN n IS NULL THEN ctx ELSE [ctx[2], n] END, reached OR coalesce(n = d, false), i + 1 FROM (
+ SELECT trip_id, d, path, ctx, reached, i, CASE WHEN reached THEN NULL WHEN len(b) >= 2 AND list_contains(path[greatest(len(path) - 8, 1):], b[1]) THEN b[2] ELSE b[1] END AS n FROM (
+  SELECT r.*, coalesce(o2.o, o1.o) AS b FROM r LEFT JOIN o o2 ON o2.k = 2 AND o2.ctx = r.ctx LEFT JOIN o o1 ON o1.k = 1 AND o1.ctx = r.ctx[2:])) WHERE i < 6)
+SELECT trip_id, array_to_string(path, '-') AS path, reached FROM r WHERE i = 6""")
 def od_generation(spark, sf):
     ev = T.event_paths(spark, sf)
     pairs = W.at_least(ev.where(TEST), 6).select("trip_id", F.get("path", F.lit(0)).alias("origin"), F.element_at("path", -1).alias("destination"))

@@ -15,10 +15,9 @@ TRIP = (
     "occupied_seats int, detour_tolerance double, detour_ratio double, tau double, earliest_departure timestamp_ntz, latest_arrival timestamp_ntz, trip_distance_km double, "
     "trip_duration_min double, average_speed_kmh double"
 )
-NETWORK = (
-    "nodes array<struct<id: bigint, osm_id: bigint, x: double, y: double>>, edges array<struct<source: bigint, target: bigint, length: double, speed_kph: int, geometry: array<array<double>>>>, "
-    "links array<struct<source: bigint, target: bigint, length: double, speed_kph: int, geometry: array<array<double>>>>, metadata struct<source: string, dataset: string>"
-)
+#: Parts of a network file; ids are read as text, so that a malformed one spoils its own row alone.
+NODE = "struct<id: string, osm_id: bigint, x: double, y: double>"
+EDGES = "array<struct<source: string, target: string, length: double, speed_kph: int, geometry: array<array<double>>>>"
 
 
 def trips(spark: SparkSession, path: str, least: int = 0) -> DataFrame:
@@ -39,12 +38,17 @@ def trips(spark: SparkSession, path: str, least: int = 0) -> DataFrame:
 
 
 def network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """nodes (node, lon, lat) and edges (source, target, length, geometry) of a network file; `links` or `edges`; a
-    missing or zero length is 1; edges without both ends in the nodes are dropped."""
-    raw = spark.read.schema(NETWORK).option("multiLine", True).json(path)
-    nodes = raw.select(F.explode("nodes").alias("n")).select(F.col("n.id").cast("int").alias("node"), F.col("n.x").alias("lon"), F.col("n.y").alias("lat"))
-    rows = raw.select(F.explode(F.coalesce("links", "edges")).alias("e")).select("e.*").where("source is not null and target is not null")
-    rows = rows.select(F.col("source").cast("int").alias("source"), F.col("target").cast("int").alias("target"), F.coalesce(F.nullif("length", F.lit(0.0)), F.lit(1.0)).alias("length"), "geometry")
+    """nodes (node, lon, lat) and edges (source, target, length, geometry) of a network file. Nodes are a list, or an
+    object by id; edges are `links` or `edges`. A missing or zero length is 1; nodes whose id is no whole number, and
+    edges without both ends in the nodes, are dropped."""
+    raw = spark.read.text(path, wholetext=True)
+    held = F.get_json_object("value", "$.nodes")
+    by_id = F.transform(F.map_entries(F.from_json(held, f"map<string, {NODE}>")), lambda x: F.struct(x["key"].alias("id"), x["value"]["x"].alias("x"), x["value"]["y"].alias("y")))
+    listed = F.transform(F.from_json(held, f"array<{NODE}>"), lambda x: F.struct(x["id"].alias("id"), x["x"].alias("x"), x["y"].alias("y")))
+    nodes = raw.select(F.explode(F.when(held.startswith("{"), by_id).otherwise(listed)).alias("n"))
+    nodes = nodes.select(F.col("n.id").try_cast("int").alias("node"), F.col("n.x").alias("lon"), F.col("n.y").alias("lat")).where("node is not null")
+    rows = raw.select(F.explode(F.from_json(F.coalesce(F.get_json_object("value", "$.links"), F.get_json_object("value", "$.edges")), EDGES)).alias("e")).select("e.*")
+    rows = rows.select(F.col("source").try_cast("int").alias("source"), F.col("target").try_cast("int").alias("target"), F.coalesce(F.nullif("length", F.lit(0.0)), F.lit(1.0)).alias("length"), "geometry")
     known = nodes.select("node")
     rows = rows.join(known.toDF("source"), "source", "left_semi").join(known.toDF("target"), "target", "left_semi")
     return nodes, rows.select("source", "target", "length", "geometry")
@@ -52,7 +56,7 @@ def network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def is_surveyed(spark: SparkSession, path: str) -> bool:
     """Whether the network says it comes from the public map."""
-    raw = spark.read.schema(NETWORK).option("multiLine", True).json(path)
+    raw = spark.read.schema("metadata struct<source: string>").option("multiLine", True).json(path)
     return raw.where(F.col("metadata.source").isin("osm", "osmnx")).limit(1).count() > 0
 
 
@@ -88,11 +92,19 @@ def write_trips(table: DataFrame, path: str) -> None:
 
 
 def write_network(nodes: DataFrame, edges: DataFrame, path: str, source: str = "grid") -> None:
-    """One JSON document per part: nodes and edges as lines of a Spark JSON data set, readable by `network_lines`."""
-    nodes.select(F.lit("node").alias("kind"), F.struct("*").alias("node")).write.mode("overwrite").json(f"{path}/nodes")
+    """Nodes and edges as JSON lines, one data set each, so that neither has to fit one task; read by `network_lines`."""
+    nodes.write.mode("overwrite").json(f"{path}/nodes")
     edges.withColumn("source_kind", F.lit(source)).write.mode("overwrite").json(f"{path}/edges")
 
 
+def network_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """nodes (node, lon, lat) and edges (source, target, length, geometry, source_kind) that `write_network` wrote;
+    lines without a node, or without both ends, are dropped."""
+    nodes = spark.read.schema("node int, lon double, lat double").json(f"{path}/nodes").where("node is not null")
+    edges = spark.read.schema("source int, target int, length double, geometry array<array<double>>, source_kind string").json(f"{path}/edges")
+    return nodes, edges.where("source is not null and target is not null")
+
+
 def write_counts(table: DataFrame, path: str) -> None:
     """A count table partitioned by order, so that a model of order k reads no more than it needs."""
     table.write.mode("overwrite").partitionBy("k").parquet(path)
