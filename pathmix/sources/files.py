@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import json
+import pickle
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +83,47 @@ def archives(spark: SparkSession, path: str, pattern: str = "*.npz") -> DataFram
     return files.mapInArrow(run, "name string, trip_id bigint, cells array<int>")
 
 
+#: What a pickled array of plain dicts, lists and numbers is made of: fixed values. Nothing else is ever called.
+ARRAY_PARTS = {"_reconstruct", "ndarray", "dtype", "scalar", "_frombuffer"}
+
+
+class _Plain(pickle.Unpickler):
+    def find_class(self, module: str, name: str):
+        if name in ARRAY_PARTS and module in ("numpy", "numpy.core.multiarray", "numpy._core.multiarray", "numpy.core.numeric", "numpy._core.numeric") or (module, name) == ("_codecs", "encode"):
+            return super().find_class(module, name)
+        raise pickle.UnpicklingError(f"{module}.{name} is no part of a plain array")
+
+
+def _grid(content: bytes) -> dict:
+    """The dict that an archive holds as `grid`, an array of one object."""
+    from numpy.lib import format as npy
+
+    with zipfile.ZipFile(io.BytesIO(content)).open("grid.npy") as held:
+        read = npy.read_array_header_1_0 if npy.read_magic(held)[0] == 1 else npy.read_array_header_2_0
+        read(held)
+        return _Plain(held).load().item()
+
+
+def grids(spark: SparkSession, path: str, pattern: str = "*.npz") -> DataFrame:
+    """name, cell, lon, lat of the grids in NumPy archives, one task per file. A grid is a pickled dict of cell ids and
+    places; an archive that holds anything but plain arrays, dicts, lists and numbers there is refused. Cells whose id is
+    no whole number, or without two coordinates, are left out."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                cells = [(int(k), float(v[0]), float(v[1])) for k, v in _grid(content).items() if str(k).lstrip("-").isdecimal() and len(v) >= 2]
+                ids, lon, lat = zip(*cells, strict=True) if cells else ((), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name.rpartition("/")[2]] * len(cells), pa.string()), pa.array(ids, pa.int32()), pa.array(lon, pa.float64()), pa.array(lat, pa.float64())], names=["name", "cell", "lon", "lat"]
+                )
+
+    return files.mapInArrow(run, "name string, cell int, lon double, lat double")
+
+
 def prefix(name: str, family: str) -> str:
     """380_US_City.npz of a family of archives to family_380_US."""
     parts = name.rpartition("/")[2].removesuffix(".npz").split("_")

@@ -1,13 +1,16 @@
 """Networks in all their shapes, predictors with users and states, and hidden states against enumeration."""
 
+import io
 import itertools
 import json
+import pickle
 
 import numpy as np
 import pytest
 
 from pathmix import catalog
 from pathmix.operators import iohmm as H
+from pathmix.operators import prepare as R
 from pathmix.operators import registry
 from pathmix.operators import score as S
 from pathmix.plans.model_queries import data
@@ -33,6 +36,30 @@ def test_network_lines(spark, tmp_path):
     assert sorted(map(str, roads.drop("source_kind").collect())) == sorted(map(str, edges.collect()))
 
 
+class Trap:
+    def __reduce__(self):
+        return print, ("run",)
+
+
+def test_archives_become_trips(spark, tmp_path):
+    held = io.BytesIO()
+    np.savez(held, grid=np.array({"10": [0.0, 0.0], "20": [0.1, 0.0], "30": [0.2, 0.01], "x": [1, 1], "40": [np.float64(0.3), 0.0]}, dtype=object), traj=np.array([[10, 10, 30, 0], [20, 40, 0, 0], [10, 0, 0, 0]]))
+    (tmp_path / "1_XX_Town.npz").write_bytes(held.getvalue())
+    grid = X.grids(spark, str(tmp_path))
+    assert sorted(tuple(r)[1:] for r in grid.collect()) == [(10, 0.0, 0.0), (20, 0.1, 0.0), (30, 0.2, 0.01), (40, 0.3, 0.0)]
+    nodes = spark.createDataFrame([(1, 0.001, 0.0), (2, 0.1, 0.001), (3, 0.2, 0.0)], "node int, lon double, lat double")
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0)], "source int, target int, length double")
+    got = {r["trip_id"]: r["path"] for r in R.from_archive(X.archives(spark, str(tmp_path)), grid, nodes, edges).collect()}
+    assert got == {0: [1, 2, 3], 1: [2, 3]}
+
+
+def test_archives_run_nothing():
+    held = io.BytesIO()
+    np.savez(held, grid=np.array({"1": Trap()}, dtype=object))
+    with pytest.raises(pickle.UnpicklingError):
+        X._grid(held.getvalue())
+
+
 def test_memories_in_the_registry(spark, sf):
     train, windows = data(spark, sf)
     got = {r["metric"]: r["value"] for r in registry.evaluate(train, windows, ["dmmc"], "events", 0).collect()}
