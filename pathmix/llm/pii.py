@@ -226,7 +226,7 @@ def _model(found: DataFrame) -> tuple[list[tuple], float]:
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Personal data of each whole text: key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
+    """Personal data of each whole text: key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans.
 
     Matches of the fixed patterns that pass their check always stay. Spans of wider generators are added as mail_like,
     number_like or ident_like where the trees' margin reaches the threshold; they may overlap each other and fixed
@@ -255,4 +255,5 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return found.select(
         F.col("k").alias(key), *[S.count(F.col("base"), k).alias(f"n_{NAMES[k]}") for k in range(4)],
         F.sha2(S.written(F.col("base"), NAMES), 256).alias("base_sha256"), S.written(F.concat("base", "more"), NAMES).alias("spans"), F.size("more").cast("bigint").alias("n_added"),
+        (F.size("base") + F.size("more")).cast("bigint").alias("n_spans"),
     )

@@ -469,6 +469,7 @@ def test_personal_data(spark, docs, texts):
         for r in pii.scan(rows).collect():
             want = personal_spans(source[r["doc_id"]])
             assert [r[f"n_{n}"] for n in pii.NAMES[:4]] == [sum(k == j for _, k, _ in want) for j in range(4)]
+            assert r["n_spans"] == len(spans_of(r["spans"])) == len(want) + r["n_added"]
             assert r["base_sha256"] == digest(want, pii.NAMES)
     assert pii.scan(empty(spark)).count() == 0
 
