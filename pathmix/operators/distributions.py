@@ -97,3 +97,9 @@ def rank(d: Column, node: Column, size: Column | None = None) -> Column:
 def brier(d: Column, node: Column, size: Column) -> Column:
     squares = total(d["p"], lambda x: x["p"] * x["p"]) + (size - F.size(d["p"])) * d["floor"] * d["floor"]
     return squares - 2 * at(d, node) + 1
+
+
+def log_sum_exp(values: Column) -> Column:
+    """ln of the sum of exp over an array, shifted by its maximum; null if it is empty."""
+    high = F.array_max(values)
+    return high + F.ln(total(values, lambda x: F.exp(x - high)))

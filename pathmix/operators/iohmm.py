@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import windows as W
@@ -72,6 +72,19 @@ class HiddenMarkov:
                 break
         return self
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """part (pi, a, b), row, values: the parameters, one row for pi and one per state for the others."""
+        rows = [("pi", 0, self.pi.tolist()), *[(part, k, v.tolist()) for part, held in (("a", self.a), ("b", self.b)) for k, v in enumerate(held)]]
+        return spark.createDataFrame(rows, "part string, row int, values array<double>")
+
+    @classmethod
+    def from_table(cls, table: DataFrame) -> HiddenMarkov:
+        rows = sorted(map(tuple, table.collect()))
+        held = {part: np.array([v for p, _, v in rows if p == part]) for part in ("pi", "a", "b")}
+        model = cls(len(held["a"]))
+        model.pi, model.a, model.b = held["pi"][0], held["a"], held["b"]
+        return model
+
     def _expect(self, paths: DataFrame, s: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         pi0, a0, b0 = self.pi, self.a, self.b
 
@@ -117,9 +130,14 @@ class HiddenMarkov:
 
 def predict(train: DataFrame, model: HiddenMarkov, contexts: DataFrame, amount: float = 0.05) -> DataFrame:
     """ctx, d: counts of what follows the last two nodes (or one) times a tilt of 1 -+ amount by the preferred nodes."""
+    return predict_counts(W.ngrams(train, 2), model, contexts, amount)
+
+
+def predict_counts(counts: DataFrame, model: HiddenMarkov, contexts: DataFrame, amount: float = 0.05) -> DataFrame:
+    """`predict` from counts of orders one and two."""
     from . import distributions as D
 
-    found = W.match(contexts.select("ctx").distinct(), W.rows_of(W.ngrams(train, 2)), 2).join(model.tilt(contexts), "ctx")
+    found = W.match(contexts.select("ctx").distinct(), W.rows_of(counts), 2).join(model.tilt(contexts), "ctx")
     gate = D.from_counts(F.element_at("found", -1))
     score = F.transform(gate["p"], lambda x: F.get("prefer", x["node"]))
     low, high = F.array_min(score), F.array_max(score)

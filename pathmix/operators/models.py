@@ -14,22 +14,38 @@ def counted(paths: DataFrame, highest: int) -> DataFrame:
     return W.rows_of(W.ngrams(paths, highest))
 
 
+def sizes(paths: DataFrame) -> DataFrame:
+    """One row: the number of distinct nodes of all paths."""
+    return paths.select(F.explode("path").alias("node")).agg(F.countDistinct("node").alias("size"))
+
+
 def unigram(paths: DataFrame) -> DataFrame:
     """One row: the distribution of all targets without context, and the number of distinct nodes of all paths."""
-    base = W.rows_of(W.ngrams(paths, 0, 0)).select(F.lit(0).alias("_one"), D.from_counts(F.struct("n", "nexts")).alias("uni"))
-    size = paths.select(F.explode("path").alias("node")).agg(F.countDistinct("node").alias("size"), F.lit(0).alias("_one"))
-    return size.join(base, "_one", "left")
+    return _constants(W.ngrams(paths, 0, 0), sizes(paths))
+
 
+def _constants(counts: DataFrame, size: DataFrame) -> DataFrame:
+    base = W.rows_of(counts).select(F.lit(0).alias("_one"), D.from_counts(F.struct("n", "nexts")).alias("uni"))
+    return size.withColumn("_one", F.lit(0)).join(base, "_one", "left")
 
-def _with_constants(found: DataFrame, paths: DataFrame) -> DataFrame:
+
+def _with_constants(found: DataFrame, constants: DataFrame) -> DataFrame:
     """Adds size (of the vocabulary) and uni; one row is sent to every task, its length the vocabulary's."""
-    return found.withColumn("_one", F.lit(0)).join(F.broadcast(unigram(paths)), "_one", "left").drop("_one")
+    return found.withColumn("_one", F.lit(0)).join(F.broadcast(constants), "_one", "left").drop("_one")
 
 
 def prepare(train: DataFrame, contexts: DataFrame, highest: int) -> DataFrame:
     """ctx, found, size, uni, mc1 for each distinct context: what all predictors need."""
-    found = W.match(contexts.select("ctx").distinct(), counted(train, max(highest, 1)), max(highest, 1))
-    found = _with_constants(found, train)
+    return _prepared(counted(train, max(highest, 1)), unigram(train), contexts, highest)
+
+
+def prepare_counts(counts: DataFrame, size: DataFrame, contexts: DataFrame, highest: int) -> DataFrame:
+    """`prepare` from counts (k from 0, ctx, next, cnt) and one row with the size of the vocabulary."""
+    return _prepared(W.rows_of(counts.where(F.col("k").between(1, max(highest, 1)))), _constants(counts.where("k = 0"), size), contexts, highest)
+
+
+def _prepared(table: DataFrame, constants: DataFrame, contexts: DataFrame, highest: int) -> DataFrame:
+    found = _with_constants(W.match(contexts.select("ctx").distinct(), table, max(highest, 1)), constants)
     ones = F.filter("found", lambda m: m["k"] == 1)
     flat = D.empty(1.0 / F.col("size"))
     return found.withColumn("mc1", F.when(F.size(ones) > 0, D.from_counts(F.get(ones, F.lit(0)))).otherwise(flat))
@@ -103,10 +119,13 @@ def multi_order(k: int, least: int = 3, share: float = 0.4) -> Column:
 
 def prepare_rampup(train: DataFrame, contexts: DataFrame, highest: int) -> DataFrame:
     """As `prepare`, with ramp-up counts in `found` and plain first-order counts in mc1."""
-    _, moves, _ = W.rampup(train, highest)
-    base = prepare(train, contexts, 1).select("ctx", "size", "uni", "mc1")
-    found = W.match(contexts.select("ctx").distinct(), W.rows_of(moves), highest)
-    return found.join(base, "ctx")
+    return with_rampup(prepare(train, contexts, 1), W.rampup(train, highest)[1], highest)
+
+
+def with_rampup(prepared: DataFrame, moves: DataFrame, highest: int) -> DataFrame:
+    """Prepared contexts with ramp-up counts (k, ctx, next, cnt) in `found`."""
+    base = prepared.select("ctx", "size", "uni", "mc1")
+    return W.match(base.select("ctx"), W.rows_of(moves), highest).join(base, "ctx")
 
 
 def interpolate(share: float, d: Column, first: Column) -> Column:
@@ -142,8 +161,13 @@ def population(train: DataFrame, contexts: DataFrame, length: int, highest: int,
     min(highest, length - 1), as windows of `length` nodes hold no longer ones.
     """
     top = max(1, min(highest, length - 1))
-    table = W.rows_of(W.overlap_ngrams(train, length, top))
-    found = _with_constants(W.match(contexts.select("ctx").distinct(), table, top), train)
+    return population_counts(W.overlap_ngrams(train, length, top), sizes(train), contexts, top, smoothing, first_order, tau)
+
+
+def population_counts(counts: DataFrame, size_: DataFrame, contexts: DataFrame, top: int, smoothing: float = 1e-4, first_order: str = "pre", tau: float = 8.0) -> DataFrame:
+    """`population` from overlap-weighted counts of orders 1 to `top` and one row with the size of the vocabulary; with
+    counts of order one alone it is the smoothed first order."""
+    found = _with_constants(W.match(contexts.select("ctx").distinct(), W.rows_of(counts), top), size_.withColumn("_one", F.lit(0)))
     size = F.col("size").cast("double")
     s = smoothing
 

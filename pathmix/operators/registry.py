@@ -26,7 +26,17 @@ class Predictor:
 
     def distribution(self, train: DataFrame, windows: DataFrame) -> DataFrame:
         """ctx, size, d for each distinct context of the windows."""
-        ready = (M.prepare_rampup if self.rampup else M.prepare)(train, windows, self.order)
+        return self.apply(self.fit(train), windows)
+
+    def fit(self, train: DataFrame) -> dict[str, DataFrame]:
+        """The tables that the predictor is made of."""
+        tables = {"counts": W.ngrams(train, 1 if self.rampup else max(self.order, 1), 0), "size": M.sizes(train)}
+        return tables | ({"rampup": W.rampup(train, self.order)[1]} if self.rampup else {})
+
+    def apply(self, tables: dict[str, DataFrame], windows: DataFrame) -> DataFrame:
+        """ctx, size, d for each distinct context of the windows, from the tables of `fit`."""
+        ready = M.prepare_counts(tables["counts"], tables["size"], windows, 1 if self.rampup else self.order)
+        ready = M.with_rampup(ready, tables["rampup"], self.order) if self.rampup else ready
         return ready.select("ctx", "size", self.rule().alias("d"))
 
 
@@ -47,9 +57,21 @@ class Memories:
 
     def distribution(self, train: DataFrame, windows: DataFrame) -> DataFrame:
         """user, ctx, size, d for each distinct context of each user."""
-        own = W.history_ngrams(W.histories(train, self.user, self.trip, W.HISTORY), self.user, self.own_order)
-        ind = M.individual(own, windows, self.user, M.unigram(train).select("size"), self.own_order)
-        gated = M.gate(M.population(train, windows, self.length, self.order), ind, self.order)
+        return self.apply(self.fit(train), windows)
+
+    @property
+    def _top(self) -> int:
+        return max(1, min(self.order, self.length - 1))
+
+    def fit(self, train: DataFrame, history: DataFrame | None = None) -> dict[str, DataFrame]:
+        """The tables; users' own paths are those of `history`, which the population does not see, or of `train`."""
+        own = W.histories(train if history is None else history, self.user, self.trip, W.HISTORY)
+        own = W.history_ngrams(own, self.user, self.own_order)
+        return {"counts": W.overlap_ngrams(train, self.length, self._top), "own": own, "size": M.sizes(train)}
+
+    def apply(self, tables: dict[str, DataFrame], windows: DataFrame) -> DataFrame:
+        ind = M.individual(tables["own"], windows, self.user, tables["size"], self.own_order)
+        gated = M.gate(M.population_counts(tables["counts"], tables["size"], windows, self._top), ind, self.order)
         return gated.select(self.user, "ctx", "size", F.col("mixed").alias("d"))
 
 
@@ -64,10 +86,17 @@ class States:
 
     def distribution(self, train: DataFrame, windows: DataFrame) -> DataFrame:
         """ctx, size, d for each distinct context of the windows."""
+        return self.apply(self.fit(train), windows)
+
+    def fit(self, train: DataFrame) -> dict[str, DataFrame]:
         size = train.agg(F.max(F.array_max("path"))).first()[0] + 1
         model = H.HiddenMarkov(self.states, self.rounds).fit(train, size)
-        base = M.prepare(train, windows, 1).select("ctx", "size", M.backoff(1).alias("_d"))
-        return base.join(H.predict(train, model, windows), "ctx", "left").select("ctx", "size", F.coalesce("d", "_d").alias("d"))
+        return {"counts": W.ngrams(train, 2, 0), "size": M.sizes(train), "states": model.table(train.sparkSession)}
+
+    def apply(self, tables: dict[str, DataFrame], windows: DataFrame) -> DataFrame:
+        counts, model = tables["counts"], H.HiddenMarkov.from_table(tables["states"])
+        base = M.prepare_counts(counts, tables["size"], windows, 1).select("ctx", "size", M.backoff(1).alias("_d"))
+        return base.join(H.predict_counts(counts.where("k > 0"), model, windows), "ctx", "left").select("ctx", "size", F.coalesce("d", "_d").alias("d"))
 
 
 def predictor(name: str, **options) -> Predictor | Memories | States:

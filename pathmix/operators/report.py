@@ -80,6 +80,30 @@ def merged(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("dataset", "model").distinct(), ["dataset", "model"], "left_anti").unionByName(new)
 
 
+def of_splits(records: DataFrame, splits: list[int]) -> DataFrame:
+    return records.where(F.col("split").isin(splits))
+
+
+def of_networks(records: DataFrame, keys: list[str]) -> DataFrame:
+    """Records of data sets that are named by one of the keys or end in _key; all records if no data set matches."""
+    names = records.select("dataset").distinct()
+    hit = F.lit(False)
+    for k in keys:
+        hit = hit | (F.col("dataset") == k) | F.col("dataset").endswith(f"_{k}")
+    any_ = names.agg(F.coalesce(F.max(hit.cast("int")), F.lit(0)).alias("_any"))
+    return records.join(F.broadcast(any_)).where(hit | (F.col("_any") == 0)).drop("_any")
+
+
+def without_embeddings(records: DataFrame) -> DataFrame:
+    """Records of models that are not encoded by graph embeddings."""
+    return records.where(~(F.contains("model", F.lit("graph_embedding")) | F.upper("model").endswith("_GE")))
+
+
+def safe_name(column: Column) -> Column:
+    """An id as part of a file name: every character but letters, digits, - and _ becomes _."""
+    return F.regexp_replace(column, r"[^\p{L}\p{N}_-]", "_")
+
+
 def latex(rows: list[dict], columns: list[str]) -> str:
     """A booktabs table of collected rows (a comparison table has a row per model); best values in bold."""
     escape = lambda s: str(s).replace("_", r"\_").replace("%", r"\%")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .windows import ranked
+from .windows import histories, ranked
 
 #: Fixed values of the key: multiplier, seed step, modulus.
 FACTOR, SEED_STEP, MODULUS = 2_654_435_761, 40_503, 1_000_003
@@ -14,7 +14,7 @@ FACTOR, SEED_STEP, MODULUS = 2_654_435_761, 40_503, 1_000_003
 
 def key(column: str | Column, seed: int = 42) -> Column:
     c = F.col(column) if isinstance(column, str) else column
-    return F.pmod(c.cast("bigint") * FACTOR + seed * SEED_STEP, F.lit(MODULUS))
+    return F.pmod(F.pmod(c.cast("bigint"), F.lit(MODULUS)) * FACTOR + seed * SEED_STEP, F.lit(MODULUS))
 
 
 def _ordered(rows: DataFrame, by: str, seed: int) -> DataFrame:
@@ -66,3 +66,19 @@ def every(rows: DataFrame, by: str, step: int = 50) -> DataFrame:
     """Every `step`-th in sorted order."""
     ids = ranked(rows.select(by).distinct(), by, "_i")
     return rows.join(ids.where(F.col("_i") % step == 0).select(by), by, "left_semi")
+
+
+def shuffled_histories(rows: DataFrame, user: str, trip: str, longest: int | None = None, seed: int = 42) -> DataFrame:
+    """user and the concatenation of the user's paths in the order of the key, its last `longest` nodes."""
+    return histories(rows.withColumn("_o", F.struct(key(trip, seed).alias("k"), F.col(trip).alias("id"))), user, "_o", longest)
+
+
+def by_window(windows: DataFrame, trip: str = "trip_id", pos: str = "pos", test: float = 0.2, seed: int = 42) -> DataFrame:
+    """Adds split (test, train) to single windows; windows of one trip meet across the two, so scores are too good."""
+    own = key(F.pmod(F.col(trip).cast("bigint"), F.lit(MODULUS)) * 1009 + F.col(pos), seed)
+    return windows.withColumn("split", F.when(own < int(MODULUS * test), "test").otherwise("train"))
+
+
+def pick(rows: DataFrame, by: str, seed: int = 42) -> DataFrame:
+    """One row: the first in the order of the key."""
+    return rows.orderBy(key(by, seed), by).limit(1)
